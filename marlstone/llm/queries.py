@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import format_copies, repeated_lines, splitting
+from . import format_copies, leaks, near_copies, repeated_lines, shared_spans, splitting
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -37,8 +37,33 @@ def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_items(table(spark, root, "parsed_documents"), "parsed_id", "raw_text", 800, 120)
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return near_copies.near_pairs(table(spark, root, "chunks"), "chunk_id", "text", 3, 0.5)
+
+
+def p6_groups(spark: SparkSession, root: str) -> DataFrame:
+    return near_copies.near_groups(table(spark, root, "chunks"), "chunk_id", "text")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_leaks(spark, root).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Each leak with how much of the passage and of the question the document holds."""
+    return leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, root, "documents")).pairs()
+
+
+def p10_shared(spark: SparkSession, root: str) -> DataFrame:
+    return shared_spans.SharedSpans(table(spark, root, "documents")).coverage()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_clean, p4_found, p4_collapsed, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p3_found, p3_clean, p4_found, p4_collapsed, p6_found, p6_groups, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_shared)}
 
 
 LINES = """lines as (select source_name, parsed_id, unnest(generate_series(1, len(l))) line_no, unnest(l) line from (
@@ -53,5 +78,17 @@ def oracle_sql() -> dict[str, str]:
         "p3_clean": f"""with {LINES}, marked as (select keyed.*, m.k is not null gone from keyed left join many m using (source_name, k))
             select parsed_id, coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '') clean_text,
             count(*) filter (gone)::int removed_lines from marked group by parsed_id""",
+        "p6_found": """with t as (select distinct chunk_id, text from chunks where text is not null),
+            w as (select chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from t),
+            s as (select distinct chunk_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')]
+                else list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) g from w),
+            n as (select chunk_id, count(*) n from s group by all),
+            c as (select a.chunk_id x, b.chunk_id y, count(*) i from s a join s b using (g) where a.chunk_id < b.chunk_id group by all)
+            select x chunk_id, y other_chunk_id from c join n a on a.chunk_id = x join n b on b.chunk_id = y where 2 * i >= a.n + b.n - i""",
+        "p9_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents),
+            g as (select doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) g from d),
+            e as (select item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') w from eval_items),
+            h as (select item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) g from e)
+            select distinct doc_id, item_id from g join h using (g)""",
         "p7_found": "select distinct chunk_id from chunks where length(text) > 800",
     }
