@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import format_copies, leaks, near_copies, repeated_lines, shared_spans, splitting
+from . import format_copies, leaks, near_copies, neighbours, repeated_lines, shared_spans, splitting
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -37,6 +37,17 @@ def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_items(table(spark, root, "parsed_documents"), "parsed_id", "raw_text", 800, 120)
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.nearest_pairs(table(spark, root, "vectors"), "chunk_id", "embedding", 64, 5)
+
+
+def p5_search(spark: SparkSession, root: str) -> DataFrame:
+    """Greedy graph search for every vector whose id is divisible by 100."""
+    rows = table(spark, root, "embeddings")
+    graph = neighbours.Graph(rows, "vec_id", "embedding", 64)
+    return graph.search(rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 64, 5)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return near_copies.near_pairs(table(spark, root, "chunks"), "chunk_id", "text", 3, 0.5)
 
@@ -63,7 +74,7 @@ def p10_shared(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_clean, p4_found, p4_collapsed, p6_found, p6_groups, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p3_found, p3_clean, p4_found, p4_collapsed, p5_found, p5_search, p6_found, p6_groups, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_shared)}
 
 
 LINES = """lines as (select source_name, parsed_id, unnest(generate_series(1, len(l))) line_no, unnest(l) line from (
