@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import answer_defects, format_copies, leaks, near_copies, neighbours, repeated_lines, shared_spans, splitting
+from . import answer_defects, format_copies, leaks, near_copies, neighbours, packing, repeated_lines, shared_spans, splitting
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -60,6 +60,14 @@ def p6_groups(spark: SparkSession, root: str) -> DataFrame:
     return near_copies.near_groups(table(spark, root, "chunks"), "chunk_id", "text")
 
 
+def p8_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(packing.token_sizes(table(spark, root, "documents")))
+
+
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.containers(p8_packing(spark, root))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_leaks(spark, root).select("doc_id", "item_id")
 
@@ -78,7 +86,7 @@ def p10_shared(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_clean, p4_found, p4_collapsed, p5_found, p5_search, p6_found, p6_groups, p7_found, p7_pieces, p9_found, p9_leaks, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_clean, p4_found, p4_collapsed, p5_found, p5_search, p6_found, p6_groups, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_shared)}
 
 
 LINES = """lines as (select source_name, parsed_id, unnest(generate_series(1, len(l))) line_no, unnest(l) line from (
