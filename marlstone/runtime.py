@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +30,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured or current.get()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and returns it without its lineage, so that a lost
-    executor costs a re-read and not a recomputation of all rounds before it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as a compressed table to the shared checkpoint folder and reads it again: its lineage ends there, so that a lost
+    executor costs a re-read and not a recomputation of all stages before it. The tables go when the program ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended before
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -44,20 +64,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Scans that already have enough partitions are left as they are."""
     n = parallelism(df.sparkSession)
     if not keys:
-        # the number of scan tasks follows the files' bytes; only small scans are re-dealt
-        return df if scan_tasks(df) >= n else df.repartition(n)
+        # only scans with fewer tasks than cores are re-dealt; planning a scan runs no job
+        return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(n)
     return df.repartition(n, *keys)
 
 
-def scan_tasks(df: DataFrame) -> int:
-    """How many tasks a scan of the files below ``df`` gets, from file sizes alone (no job is run)."""
-    spark = df.sparkSession
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    block = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return int(str(stats)) // max(1, block)
-
-
 def concat_key(*columns: str):
     """A null-safe grouping key of several columns."""
     return F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
