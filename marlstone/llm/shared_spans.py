@@ -161,38 +161,44 @@ class SharedSpans:
             raise ValueError("need 1 < phrase < span")
         spark = docs.sparkSession
         self.span, self.phrase, around = span, phrase, span - phrase
-        rows = (docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= span))
-                .select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
-                .withColumn("key", F.unhex(F.sha2("text", 256))))
-        heads = cut(rows.groupBy("key").agg(F.min("id").alias("doc"), F.count("*").alias("members"), F.first("text").alias("text")))
-        self.members = rows.select("id", "key").join(heads.select("key", "doc"), "key").select("id", "doc")
-        self.heads = heads.select("doc", "members", F.length("text").alias("chars"))
-        texts = heads.select("doc", "text")
-
-        marks = cut(spread(texts).mapInPandas(_select(span, phrase), "doc bigint, at int, hash bigint"))
+        long = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= span)).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+        keyed = cut(long.select(F.col("doc").alias("id"), F.unhex(F.sha2("text", 256)).alias("key"), F.length("text").alias("chars"))
+                    .dropDuplicates(["id"]))
+        heads = keyed.groupBy("key").agg(F.min("id").alias("doc"), F.count("*").alias("members"), F.first("chars").alias("chars"))
+        self.members = cut(keyed.select("id", "key").join(heads, "key").select("id", "doc", "members", "chars"))
+        self.heads = self.members.where("id = doc").select("doc", "members", "chars")
+
+        # copies are marked as well and left out afterwards: that costs less than to move the texts
+        marks = cut(spread(long).mapInPandas(_select(span, phrase), "doc bigint, at int, hash bigint")
+                    .join(self.heads.select("doc"), "doc", "left_semi").dropDuplicates(["doc", "hash"]))
         recurring = cut(marks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("lead"))
                         .where("n > 1").select("hash", "lead"))
         shards = max(1, -(-recurring.count() // PHRASES_PER_SHARD))
         shard = F.pmod(F.xxhash64("lead.doc"), F.lit(shards)).cast("int").alias("shard")
-        phrases = (recurring.groupBy(F.col("lead.doc").alias("doc"), shard)
-                   .agg(F.collect_list(F.struct("hash", F.col("lead.at").alias("at"))).alias("places"))
-                   .join(texts, "doc").mapInPandas(_phrases(phrase), "shard int, hash bigint, text string"))
+        places = (recurring.groupBy(F.col("lead.doc").alias("doc"))
+                  .agg(F.collect_list(F.struct("hash", F.col("lead.at").alias("at"))).alias("places")))
         routes = cut(marks.join(recurring, "hash").select("doc", shard).distinct())
+        # every text that holds a recurring phrase, its shards and the phrases it was the first to hold: the texts move once
+        needed = routes.groupBy("doc").agg(F.collect_list("shard").alias("shards")).join(places, "doc", "left")
+        texts = cut(long.join(needed, "doc").dropDuplicates(["doc"]))
+        phrases = (texts.where("places is not null").select(
+            F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"), "text", "places")
+            .mapInPandas(_phrases(phrase), "shard int, hash bigint, text string"))
         salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / TEXTS_PER_TASK).cast("int").alias("salts"))
         phrases = (phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                                                        F.lit(-1).cast("bigint").alias("doc"), "hash", "text"))
-        streamed = (routes.join(salts, "shard").join(texts, "doc")
+        streamed = (texts.select("doc", "text", F.explode("shards").alias("shard")).join(salts, "shard")
                     .select("shard", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "doc",
                             F.lit(0).cast("bigint").alias("hash"), "text"))
         located = (phrases.unionByName(streamed).repartition(parallelism(spark), "shard", "salt")
                    .sortWithinPartitions("shard", "salt", "doc")
                    .mapInPandas(_locate(span, phrase), "hash bigint, doc bigint, left string, right string, starts array<int>"))
         context = F.xxhash64("hash", "left", F.lit("\u0000"), "right")
-        self.places = cut(located.withColumn("context", context))
+        located = cut(located.withColumn("context", context))
+        self.places = located.select("context", "doc", "starts")
 
-        contexts = (self.places.groupBy("context").agg(
+        contexts = cut(located.groupBy("context").agg(
             F.first("hash").alias("hash"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("docs")))
-        self.contexts = contexts = cut(contexts)
         sizes = contexts.groupBy("hash").agg(F.count("*").alias("n"))
         few = contexts.join(sizes.where((F.col("n") > 1) & (F.col("n") <= FEW_CONTEXTS)), "hash", "left_semi")
         compared = (few.groupBy("hash").agg(F.collect_list(F.struct("context", "left", "right")).alias("contexts"))
@@ -224,7 +230,7 @@ class SharedSpans:
     def pairs(self) -> DataFrame:
         """(doc_id, other_doc_id): all pairs of ids, copies expanded."""
         heads = self.head_pairs().unionByName(self.heads.where("members > 1").select(F.col("doc").alias("a"), F.col("doc").alias("b")))
-        members = cut(self.members)
+        members = self.members
         return (heads.join(members.select(F.col("doc").alias("a"), F.col("id").alias("i")), "a")
                 .join(members.select(F.col("doc").alias("b"), F.col("id").alias("j")), "b").where("a <> b or i < j")
                 .select(F.least("i", "j").alias("doc_id"), F.greatest("i", "j").alias("other_doc_id")))
@@ -246,6 +252,6 @@ class SharedSpans:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.col("chars").alias("end")))
         spans = F.when(F.col("members") > 1, whole).otherwise(F.coalesce("merged", empty))
         total = F.aggregate("spans", F.lit(0), lambda a, p: a + p["end"] - p["start"])
-        return (self.members.join(self.heads, "doc").join(ordered.select("doc", merged.alias("merged")), "doc", "left")
+        return (self.members.join(ordered.select("doc", merged.alias("merged")), "doc", "left")
                 .select(F.col("id").alias("doc_id"), F.col("doc").alias("class_id"), spans.alias("spans"), "chars").where(F.size("spans") > 0)
                 .select("doc_id", "class_id", "spans", total.alias("shared_chars"), F.round(total / F.col("chars"), 6).alias("share")))
