@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import answer_defects, format_copies, leaks, near_copies, neighbours, packing, repeated_lines, shared_spans, splitting
+from . import answer_defects, format_copies, leaks, near_copies, neighbours, packing, repeated_lines, scan_repair, shared_spans, splitting
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return scan_repair.ScanRepair(table(spark, root, "parsed_documents")).damages()
+
+
+def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return scan_repair.ScanRepair(table(spark, root, "parsed_documents")).repaired()
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -86,7 +94,7 @@ def p10_shared(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_clean, p4_found, p4_collapsed, p5_found, p5_search, p6_found, p6_groups, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_clean, p4_found, p4_collapsed, p5_found, p5_search, p6_found, p6_groups, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_shared)}
 
 
 LINES = """lines as (select source_name, parsed_id, unnest(generate_series(1, len(l))) line_no, unnest(l) line from (
