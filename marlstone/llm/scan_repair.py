@@ -152,12 +152,14 @@ def furniture(lines: list[str]) -> set[int]:
                 continue
             break
         if title is not None:
-            names = [w for w in re.findall(r"[^\W_]+", lines[title].lower())][-2:]
-            for p in pages:
-                for i in p[-EDGE:]:
+            whole = _plain(lines[title])
+            names = whole.split()[-2:]
+            for k, p in enumerate(pages):
+                for i in p[-EDGE:] + (p[:2] if k else []):
                     if i != title and i not in found and not lines[i].rstrip().endswith((".", ",", ":")):
-                        words = _plain(lines[i]).split()
-                        if len(names) == 2 and words[:2] == names and len(words) <= 6:
+                        text = _plain(lines[i])
+                        words = text.split()
+                        if len(names) == 2 and words[:2] == names and len(words) <= 6 or len(text) >= 12 and whole.endswith(text):
                             found.add(i)
     return found
 
