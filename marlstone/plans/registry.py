@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, retrieval
+from . import cleaning, ingestion, retrieval
 
-MODULES = (cleaning, retrieval)
+MODULES = (cleaning, retrieval, ingestion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,12 +49,11 @@ def bm25_normalised(spark: SparkSession, root: str) -> DataFrame:
 
 def l2_normalize(spark: SparkSession, root: str) -> DataFrame:
     """Each vector times its id and one, at unit length again."""
-    rows = table(spark, root, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * (F.col("vec_id") + 1)).alias("v"))
-    u = V.l2_normalize(F.col("v"))
-    return rows.select("vec_id", F.round(V.norm(F.col("u")), 6).alias("norm"), F.round(F.element_at("u", 1), 6).alias("first"),
-                       F.round(F.element_at("u", -1), 6).alias("last")) if "u" in rows.columns else rows.select("vec_id", u.alias("u")).select(
-        "vec_id", F.round(V.norm(F.col("u")), 6).alias("norm"), F.round(F.element_at("u", 1), 6).alias("first"),
-        F.round(F.element_at("u", -1), 6).alias("last"))
+    rows = table(spark, root, "embeddings")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") + 1))
+    u = rows.select("vec_id", V.l2_normalize(scaled).alias("u"))
+    return u.select("vec_id", F.round(V.norm(F.col("u")), 6).alias("norm"), F.round(F.element_at("u", 1), 6).alias("first"),
+                    F.round(F.element_at("u", -1), 6).alias("last"))
 
 
 def _rows(spark: SparkSession, root: str) -> DataFrame:
@@ -197,8 +196,6 @@ def _mmr(k: int, weight: float) -> str:
     mm as (select query_id, unnest(chosen) rank, unnest(generate_series(1, {k}))::int mmr_rank from sel where step = {k})"""
 
 
-SOURCES = """re as (select session_id query_id, r.similarity_score s, r.doc_type t from (
-        select distinct on (session_id) session_id, unnest(source_references) r from (select distinct on (session_id) * from advisories)))"""
 SOURCES = """re as (select session_id query_id, r.similarity_score s, r.doc_type t from (
         select session_id, unnest(source_references) r from (select distinct on (session_id) session_id, source_references from advisories)))"""
 _AUTHORITY = "case t " + " ".join(f"when '{k}' then {v}::double" for k, v in AUTHORITY.items()) + " else 0.4::double end"
@@ -228,7 +225,7 @@ SQL = {
     "bm25_terms": f"with {INDEX} select term, df, round(idf, 6) idf from te",
     "bm25_top10": f"with {ITEMS} select query_id, id, score, rank from ra",
     "bm25_normalised": f"with {ITEMS} select query_id, id, round(bm25, 6) bm25 from no",
-    "l2_normalize": """with s as (select vec_id, list_transform(embedding, lambda x: (x * (vec_id + 1))::double) v from embeddings),
+    "l2_normalize": """with s as (select vec_id, list_transform(embedding, lambda x: x::double * (vec_id + 1)) v from embeddings),
         u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u from s)
         select vec_id, round(sqrt(list_dot_product(u, u)), 6) norm, round(u[1], 6) as first, round(u[-1], 6) as last from u""",
     "knn_topk": f"with {_near(24)} select query_id, id, similarity, rank from kn",

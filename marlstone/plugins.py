@@ -69,5 +69,6 @@ def hash_embedding(c: Column, bits: int = 4) -> Column:
     if bits % 4:
         raise ValueError("bits must be a multiple of 4")
     bucket = F.transform(tokens(c), lambda t: F.conv(F.substring(F.md5(t), 1, bits // 4), 16, 10).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(2 ** bits - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)).cast("double"))
+    zeros = F.array_repeat(F.lit(0.0), 2 ** bits)
+    counts = F.aggregate(bucket, zeros, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
     return l2_normalize(counts)
