@@ -116,6 +116,29 @@ def oracle_sql() -> dict[str, str]:
             n as (select chunk_id, count(*) n from s group by all),
             c as (select a.chunk_id x, b.chunk_id y, count(*) i from s a join s b using (g) where a.chunk_id < b.chunk_id group by all)
             select x chunk_id, y other_chunk_id from c join n a on a.chunk_id = x join n b on b.chunk_id = y where 2 * i >= a.n + b.n - i""",
+        "p6_groups": """with t as (select distinct chunk_id, text from chunks where text is not null),
+            w as (select chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from t),
+            s as (select chunk_id, list_sort(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end)) g from w),
+            k as (select g, min(chunk_id) class_id, count(*) members from s group by g),
+            u as (select class_id, len(g) n, unnest(g) g from k),
+            c as (select a.class_id x, b.class_id y, any_value(a.n) n, any_value(b.n) m, count(*) i from u a join u b using (g) where a.class_id <> b.class_id group by all),
+            l as (select x, count(*) links from c where i >= 0.8::double * (n + m - i) - 1e-9 group by x)
+            select chunk_id, class_id, members, coalesce(links, 0) links from s join k using (g) left join l on x = class_id""",
+        "p9_leaks": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents),
+            g as (select distinct doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) g from d),
+            e as (select item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') w, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[\\p{L}\\p{N}]+')) q from eval_items),
+            h as (select item_id, unnest(generate_series(1, len(w) - 11)) p, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) g from e),
+            m as (select doc_id, item_id, unnest(generate_series(p, p + 11)) p from g join h using (g)),
+            n as (select doc_id, item_id, count(distinct p) covered from m group by all)
+            select doc_id, item_id, round(covered / len(e.w), 6) passage_share,
+                case when len(q) = 0 then 0 else round(len(list_intersect(q, list_distinct(d.w))) / len(q), 6) end question_share
+            from n join e using (item_id) join d using (doc_id)""",
+        "p10_found": """with g as (select distinct doc_id, substring(text, i::int, 200) g from (
+                select doc_id, text, unnest(generate_series(1, length(text) - 199)) i from documents)),
+            r as (select g, list(doc_id) d from g group by g having count(*) > 1),
+            a as (select distinct d from r), b as (select unnest(d) x, d from a), c as (select x, unnest(d) y from b)
+            select distinct x doc_id, y other_doc_id from c where x < y""",
         "p9_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents),
             g as (select doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) g from d),
             e as (select item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') w from eval_items),
