@@ -198,7 +198,9 @@ class SharedSpans:
         self.places = located.select("context", "doc", "starts")
 
         contexts = cut(located.groupBy("context").agg(
-            F.first("hash").alias("hash"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("docs")))
+            F.first("hash").alias("hash"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("docs"),
+            F.min("doc").alias("one")))
+        self.holders = contexts.select("context", "docs", "one")
         sizes = contexts.groupBy("hash").agg(F.count("*").alias("n"))
         few = contexts.join(sizes.where((F.col("n") > 1) & (F.col("n") <= FEW_CONTEXTS)), "hash", "left_semi")
         compared = (few.groupBy("hash").agg(F.collect_list(F.struct("context", "left", "right")).alias("contexts"))
@@ -237,9 +239,13 @@ class SharedSpans:
 
     def coverage(self) -> DataFrame:
         """(doc_id, class_id, spans, shared_chars, share): per document its maximal shared spans (start, end) and their part of the text."""
-        both = self.links.select(F.explode(F.array("x", "y")).alias("context"), "before", "after")
-        reach = both.unionByName(self.alone).distinct()
-        pieces = (self.places.join(reach, "context").select("doc", F.explode("starts").alias("s"), "before", "after")
+        # a span that only the same document holds again isn't shared: whose the other context is goes along
+        sides = self.links.select(F.explode(F.array(F.struct(F.col("x").alias("context"), F.col("y").alias("other")),
+                                                    F.struct(F.col("y").alias("context"), F.col("x").alias("other")))).alias("s"), "before", "after")
+        others = self.holders.select(F.col("context").alias("other"), F.when(F.col("docs") == 1, F.col("one")).alias("only"))
+        both = (sides.select("s.context", "s.other", "before", "after").join(others, "other").select("context", "before", "after", "only"))
+        reach = both.unionByName(self.alone.withColumn("only", F.lit(None).cast("bigint"))).distinct()
+        pieces = (self.places.join(reach, "context").where("only is null or only <> doc").select("doc", F.explode("starts").alias("s"), "before", "after")
                   .select("doc", F.struct((F.col("s") - F.col("before")).alias("start"),
                                           (F.col("s") + self.phrase + F.col("after")).alias("end")).alias("piece")).distinct())
         ordered = pieces.groupBy("doc").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
