@@ -61,7 +61,8 @@ def embed(df: DataFrame, text_col: str, factory: Callable[[], Embedder], batch:
                 raise ValueError(f"expected vectors of width {model.dimension}")
             yield pd.Series(made, index=texts.index)
 
-    return df.withColumn(out, l2_normalize(run(F.col(text_col))).cast("array<float>"))
+    # the model's output first: higher-order functions can't hold Python
+    return df.withColumn(out, run(F.col(text_col))).withColumn(out, l2_normalize(F.col(out)).cast("array<float>"))
 
 
 def hash_embedding(c: Column, bits: int = 4) -> Column:
