@@ -31,13 +31,13 @@ SCANNED = f"kind string, source string, prefix binary, {POSITION}, length int"
 def line_table(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "raw_text",
                source_col: str = "source_name") -> DataFrame:
     """(source, parsed_id, seq of (line_no, line id, letters)) per document; null texts and null sources are left out.
-    Rows delivered twice count once."""
+    Rows delivered twice make no difference: documents are counted as sets of ids."""
     lines = F.split(F.col(text_col), "\n", -1)
     keyed = F.transform(lines, lambda line, i: F.struct(
         (i + 1).alias("line_no"), F.regexp_replace(F.lower(line), r"[^\p{L}]+", "").alias("key")))
     return (docs.where(F.col(text_col).isNotNull() & F.col(source_col).isNotNull())
             .select(F.col(source_col).alias("source"), F.col(id_col).alias("parsed_id"), keyed.alias("lines"))
-            .dropDuplicates(["source", "parsed_id"]))
+            .where("parsed_id is not null"))
 
 
 def suffixes(docs: DataFrame, min_letters: int, depth: int, **columns: str) -> DataFrame:
