@@ -78,16 +78,16 @@ def fields(text: str) -> list[tuple[int, str]]:
 
 def _cut_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(i, p, v) for i, t in zip(batch["parsed_id"], batch["raw_text"]) for p, v in fields(t)]
-        yield pd.DataFrame(rows, columns=["parsed_id", "part", "value"])
+        rows = [(i, p, k, v) for i, t in zip(batch["parsed_id"], batch["raw_text"]) for k, (p, v) in enumerate(fields(t))]
+        yield pd.DataFrame(rows, columns=["parsed_id", "part", "place", "value"])
 
 
 def content_keys(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "raw_text") -> DataFrame:
     """(parsed_id, content): equal contents have equal 256-bit digests of their integer tuples. Rows delivered
     twice count once; null texts are left out; texts without a letter or digit share one content."""
     texts = (docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-             .select(F.col(id_col).alias("parsed_id"), F.col(text_col).alias("raw_text")).dropDuplicates(["parsed_id"]))
-    cells = cut(spread(texts).mapInPandas(_cut_fields, "parsed_id bigint, part int, value string")
+             .select(F.col(id_col).alias("parsed_id"), F.col(text_col).alias("raw_text")))
+    cells = cut(spread(texts).mapInPandas(_cut_fields, "parsed_id bigint, part int, place int, value string")
                 .withColumn("raw_key", F.unhex(F.md5("value"))))
     # the dictionary: each distinct raw value once, its canonical form, and one integer per distinct canonical form
     canonical = F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}]+", "")
@@ -97,13 +97,15 @@ def content_keys(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "ra
                   .withColumn("value_id", F.monotonically_increasing_id()))  # written, so the numbers stay
     dictionary = raw.where(~F.col("blank")).join(numbers, "canonical").select("raw_key", "value_id")
     # parts are renumbered after blank values are gone, so that empty lines and cells make no difference
-    tuples = (cells.select("parsed_id", "part", "raw_key").join(dictionary, "raw_key")
-              .groupBy("parsed_id").agg(F.sort_array(F.collect_list(F.struct("part", "value_id"))).alias("pairs")))
+    # a set of places, so that a row delivered twice counts once
+    placed = F.collect_set(F.struct("part", "value_id", "place"))
+    tuples = (cells.select("parsed_id", "part", "place", "raw_key").join(dictionary, "raw_key")
+              .groupBy("parsed_id").agg(F.sort_array(placed).alias("pairs")))
     parts = F.array_sort(F.array_distinct(F.transform("pairs", lambda p: p["part"])))
     digest = F.sha2(F.concat_ws(",", F.transform(
         "pairs", lambda p: F.concat_ws(":", F.array_position(F.col("parts"), p["part"]), p["value_id"]))), 256)
     keyed = tuples.withColumn("parts", parts).select("parsed_id", F.unhex(digest).alias("content"))
-    return texts.select("parsed_id").join(keyed, "parsed_id", "left").withColumn(
+    return texts.select("parsed_id").distinct().join(keyed, "parsed_id", "left").withColumn(
         "content", F.coalesce("content", F.lit(b"").cast("binary")))
 
 
