@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -59,16 +58,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Round-robin (or by keys) over all cores ahead of a CPU-bound Python stage: a scan of few files has few tasks.
-    Scans that already have enough partitions are left as they are."""
-    n = parallelism(df.sparkSession)
-    if not keys:
-        # only scans with fewer tasks than cores are re-dealt; planning a scan runs no job
-        return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(n)
-    return df.repartition(n, *keys)
-
-
-def concat_key(*columns: str):
-    """A null-safe grouping key of several columns."""
-    return F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over all cores ahead of a CPU-bound Python stage, where a scan of few files has fewer tasks than cores. Behind a
+    shuffle nothing is done: adaptive execution already keeps a partition per core there. Only plans are looked at, no job is run."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(parallelism(df.sparkSession))
