@@ -21,11 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread
+from ..runtime import cut, parallelism
 
 SAMPLE = 20_000
 CELL = 256
-EDGE = "v bigint, u bigint, sim double"
+EDGE = "v bigint, u bigint, sim double, v_cell bigint, u_cell bigint"
+HUB = 8  # a vector named by more than this many times ``degree`` others has its list cut into parts
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -107,49 +108,55 @@ def _leaf_join(degree: int):
     """All vectors of one leaf compared with one another."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x = group["v"].to_numpy(), _matrix(group["vec"].tolist())
-        if len(ids) < 2:
-            return pd.DataFrame({"v": ids[:0], "u": ids[:0], "sim": np.zeros(0)})
+        ids, cells, x = group["v"].to_numpy(), group["cell"].to_numpy(), _matrix(group["vec"].tolist())
+        k = min(degree, len(ids) - 1)
+        if k < 1:
+            return _edges(ids, cells, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         s = x @ x.T
         np.fill_diagonal(s, -2)
-        k = min(degree, len(ids) - 1)
         near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"v": np.repeat(ids, k), "u": ids[near].ravel(), "sim": np.take_along_axis(s, near, 1).ravel()})
+        return _edges(ids, cells, np.repeat(np.arange(len(ids)), k), near.ravel(), np.take_along_axis(s, near, 1).ravel())
 
     return run
 
 
+def _edges(ids: np.ndarray, cells: np.ndarray, v: np.ndarray, u: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
+    """Edges between places of ``ids`` as rows."""
+    return pd.DataFrame({"v": ids[v], "u": ids[u], "sim": sim, "v_cell": cells[v], "u_cell": cells[u]})
+
+
 def _local_join(degree: int):
     """The neighbour lists of one cell: members of a list compared with one another; what beats a member's worst neighbour is passed on."""
 
     def run(lists: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
         ids = vecs["w"].to_numpy()
         order = np.argsort(ids)
-        ids, worst = ids[order], vecs["worst"].to_numpy()[order]
+        ids, worst, cells = ids[order], vecs["worst"].to_numpy()[order], vecs["cell"].to_numpy()[order]
         x = _matrix([vecs["vec"].iat[k] for k in order])
-        place = np.searchsorted(ids, lists["u"].to_numpy())
-        fresh = lists["fresh"].to_numpy()
-        owner = lists["v"].to_numpy().astype(np.int64) * 1_000_003 + lists["part"].to_numpy()
-        by = np.argsort(owner, kind="stable")
-        place, fresh = place[by], fresh[by]
-        borders = np.r_[np.flatnonzero(np.r_[True, np.diff(owner[by]) != 0]), len(by)]
+        owner, place, fresh = lists["v"].to_numpy(), np.searchsorted(ids, lists["u"].to_numpy()), lists["fresh"].to_numpy()
+        # an edge that goes both ways stands twice in a list: the fresh one first, and only the first stays
+        by = np.lexsort((~fresh, place, owner))
+        owner, place, fresh = owner[by], place[by], fresh[by]
+        once = np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])]
+        owner, place, fresh = owner[once], place[once], fresh[once]
+        borders = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)]
         got = []
         for a, b in zip(borders[:-1], borders[1:]):
             m, f = place[a:b], fresh[a:b]
             if b - a < 2 or not f.any():
                 continue
-            s = x[m[f]] @ x[m].T
-            new, all_ = m[f], m
-            differ = new[:, None] != all_[None, :]
+            new = m[f]
+            s = x[new] @ x[m].T
+            differ = new[:, None] != m[None, :]
             i, j = np.nonzero(differ & (s > worst[new][:, None]))
-            got.append((new[i], all_[j], s[i, j]))
-            i, j = np.nonzero(differ & (s > worst[all_][None, :]))
-            got.append((all_[j], new[i], s[i, j]))
+            got.append((new[i], m[j], s[i, j]))
+            i, j = np.nonzero(differ & (s > worst[m][None, :]))
+            got.append((m[j], new[i], s[i, j]))
         if not got:
-            return pd.DataFrame({"v": ids[:0], "u": ids[:0], "sim": np.zeros(0)})
-        v, u, sim = (np.concatenate(c) for c in zip(*got))
-        out = _best(v, u, sim, degree)
-        return out.assign(v=ids[out["v"]], u=ids[out["u"]])
+            none = np.zeros(0, int)
+            return _edges(ids, cells, none, none, np.zeros(0))
+        out = _best(*(np.concatenate(c) for c in zip(*got)), degree)
+        return _edges(ids, cells, out["v"].to_numpy(), out["u"].to_numpy(), out["sim"].to_numpy())
 
     return run
 
@@ -191,31 +198,48 @@ class Graph:
         leaf = cut(leaf.join(parts, ["tree", "leaf"])
                    .withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).select("v", "vec", "tree", "leaf", "part"))
         self.heads = cut(leaf.where("tree = 0").select("v", "vec", F.xxhash64("leaf", "part").alias("cell")))
-        first = leaf.groupBy("tree", "leaf", "part").applyInPandas(_leaf_join(degree), EDGE)
-        edges = cut(_top(first.groupBy("v", "u").agg(F.max("sim").alias("sim")), degree).withColumn("fresh", F.lit(True)))
+        first = (leaf.join(self.heads.select("v", "cell"), "v").groupBy("tree", "leaf", "part").applyInPandas(_leaf_join(degree), EDGE))
+        edges = cut(self._merged(first.withColumn("fresh", F.lit(True)), degree))
+        changed, total = n * degree, n * degree
         for _ in range(rounds if n > 2 else 0):
-            edges = self._round(edges, degree)
-            if edges.where("fresh").count() < least_change * n * degree:
+            edges = self._round(edges, degree, changed < 0.2 * total)
+            changed = edges.where("fresh").count()
+            if changed < least_change * total:
                 break
         self.edges = edges.select("v", "u", "sim")
 
-    def _round(self, edges: DataFrame, degree: int) -> DataFrame:
-        back = edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "fresh")
-        parts = back.groupBy("v").agg(F.ceil(F.count("*") / (2 * degree)).cast("int").alias("parts"))
-        named = back.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).drop("parts")
-        own = (edges.select("v", "u", "fresh").join(parts, "v", "left")
-               .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"))
-        lists = (own.unionByName(named.select("v", "u", "fresh", "part")).groupBy("v", "part", "u").agg(F.max("fresh").alias("fresh"))
-                 .join(self.heads.select("v", "cell"), "v"))
+    @staticmethod
+    def _merged(edges: DataFrame, degree: int) -> DataFrame:
+        """The best edges of each vector, one exchange for both steps. An edge known before isn't fresh."""
+        n = parallelism(edges.sparkSession)
+        one = (edges.repartition(n, "v").groupBy("v", "u").agg(
+            F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.first("v_cell").alias("v_cell"), F.first("u_cell").alias("u_cell")))
+        return _top(one, degree)
+
+    def _round(self, edges: DataFrame, degree: int, few: bool) -> DataFrame:
+        """Joins the neighbours of each vector with one another. With ``few`` fresh edges only the lists that hold one are moved."""
+        lists = (edges.select(F.col("v_cell").alias("home"), "v", "u", "fresh")
+                 .unionByName(edges.select(F.col("u_cell").alias("home"), F.col("u").alias("v"), F.col("v").alias("u"), "fresh")))
+        hubs = edges.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > HUB * degree)
+        hubs = cut(hubs.select(F.col("u").alias("v"), F.ceil(F.col("n") / (2 * degree)).cast("int").alias("parts")))
+        if not hubs.isEmpty():
+            # those it names go to every part of a hub, each that names it to one part; a part is a group of its own
+            back = ~F.col("own")
+            tagged = (edges.select(F.col("v_cell").alias("home"), "v", "u", "fresh", F.lit(True).alias("own"))
+                      .unionByName(edges.select(F.col("u_cell").alias("home"), F.col("u").alias("v"), F.col("v").alias("u"), "fresh", F.lit(False).alias("own")))
+                      .join(hubs, "v", "left"))
+            part = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).when(
+                back, F.array(F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+            lists = (tagged.withColumn("part", F.explode(part)).select(
+                F.when(F.col("part") < 0, F.col("home")).otherwise(F.xxhash64("home", "v", "part")).alias("home"), "v", "u", "fresh"))
+        if few:
+            touched = edges.where("fresh").select(F.explode(F.array("v", "u")).alias("v")).distinct()
+            lists = lists.join(touched, "v", "left_semi")
         worst = edges.groupBy("v").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-        vecs = self.heads.select(F.col("v").alias("u"), "vec").join(worst.withColumnRenamed("v", "u"), "u", "left").fillna(-2.0, ["worst"])
-        lists = cut(lists)
-        needed = (lists.select(F.col("cell").alias("home"), F.col("u").alias("w")).distinct()
-                  .join(vecs.withColumnRenamed("u", "w"), "w").select("home", "w", "vec", "worst"))
-        found = lists.groupBy("cell").cogroup(needed.groupBy("home")).applyInPandas(_local_join(degree), EDGE)
-        merged = (edges.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
-                  .groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")))
-        return cut(_top(merged, degree))
+        vecs = self.heads.join(worst, "v", "left").fillna(-2.0, ["worst"]).withColumnRenamed("v", "w")
+        needed = (lists.select(F.col("home").alias("at"), F.col("u").alias("w")).distinct().join(vecs, "w").select("at", "w", "vec", "worst", "cell"))
+        found = lists.groupBy("home").cogroup(needed.groupBy("at")).applyInPandas(_local_join(degree), EDGE)
+        return cut(self._merged(edges.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), degree))
 
     def nearest(self, k: int = 5) -> DataFrame:
         """(id, other_id, similarity, rank): the k nearest others of every id by cosine rounded to 6 places, ties to the smaller id."""
