@@ -47,7 +47,7 @@ for _true, _seen in CONFUSIONS.items():
     for _s in _seen:
         PRINTED[_s].append(_true)
 ERROR, OTHER_ERROR = math.log(0.004), math.log(0.0002)
-UNKNOWN, UNKNOWN_NAME = math.log(1e-8), math.log(1e-6)
+UNKNOWN, UNKNOWN_NAME = math.log(1e-8), math.log(2e-5)
 PAIR_WEIGHT = 0.9
 START = "<"
 
@@ -415,8 +415,7 @@ class ScanRepair:
 
     def __init__(self, docs: DataFrame, least_share: float = 0.0005, least_docs: int = 3):
         spark = docs.sparkSession
-        self.rows = spread(docs.where("parsed_id is not null and raw_text is not null").select("parsed_id", "filename", "raw_text")
-                           .dropDuplicates(["parsed_id"]))
+        self.rows = spread(docs.where("parsed_id is not null and raw_text is not null").select("parsed_id", "filename", "raw_text"))
         counts = cut(self.rows.mapInPandas(_counts, "scanned boolean, a string, b string, n bigint")
                      .groupBy("scanned", "a", "b").agg(F.sum("n").alias("n")))
         size = {r["scanned"]: r["n"] for r in counts.where("a = '' and b = ''").collect()}  # two rows at most
@@ -444,11 +443,11 @@ class ScanRepair:
         return self.rows.mapInPandas(run, schema)
 
     def damages(self) -> DataFrame:
-        """(parsed_id, line_no, damage) of scanned texts. Null texts are left out; a repeated id counts once."""
+        """(parsed_id, line_no, damage) of scanned texts. Null texts are left out; rows delivered twice give the same damages once."""
         return self._apply(lambda i, _, page: [(i, n, d) for n, d in page.damages()] if page else [],
                            "parsed_id bigint,line_no int,damage string").distinct()
 
     def repaired(self) -> DataFrame:
         """(parsed_id, scanned, clean_text): scanned texts as continuous paragraphs, others as they were."""
         return self._apply(lambda i, text, page: [(i, page is not None, page.text() if page else text)],
-                           "parsed_id bigint,scanned boolean,clean_text string")
+                           "parsed_id bigint,scanned boolean,clean_text string").dropDuplicates(["parsed_id"])
