@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, parallelism
 
 SAMPLE = 20_000
-CELL = 256
+CELL = 1024
 EDGE = "v bigint, u bigint, sim double, v_cell bigint, u_cell bigint"
 HUB = 8  # a vector named by more than this many times ``degree`` others has its list cut into parts
 
@@ -169,7 +169,7 @@ def _top(edges: DataFrame, degree: int) -> DataFrame:
 class Graph:
     """The neighbour graph of a collection: classes (v, vec, cell), members (id, v) and edges (v, u, sim)."""
 
-    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, degree: int = 48, trees: int = 6,
+    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, degree: int = 48, trees: int = 4,
                  rounds: int = 10, least_change: float = 0.002):
         spark = vectors.sparkSession
         rows = cut(usable(vectors, id_col, vec_col, dim))
