@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
+from ..functions.bind import let
 from ..functions.text import strip, tokens
 from ..functions.vector import clamp
 
@@ -90,17 +91,19 @@ def sections_layer(raw: Column) -> Column:
             F.when((key != "") & (inline != ""), put(acc["got"], key, inline))
             .when((key == "") & (acc["current"] != ""), put(acc["got"], acc["current"], more)).otherwise(acc["got"]).alias("got"))
 
-    got = F.aggregate(lines, start, step)["got"]
-    value = lambda k: strip(F.coalesce(F.element_at(got, F.lit(k)), F.lit("")))
-    flags_text = value("RISK_FLAGS")
-    flags = F.filter(F.transform(F.split(flags_text, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[-•*]+", ""))), lambda x: x != "")
+    return let(F.aggregate(lines, start, step)["got"], _section_values)
+
+
+def _section_values(got: Column) -> Column:
+    """The struct of a response from its texts by header, NULL if all are blank."""
     none = F.array().cast("array<string>")
-    whole = F.struct(
-        value("SHORT_ANSWER").alias("short_answer"), F.nullif(value("CLASSIFICATION"), F.lit("")).alias("classification"),
-        value("REASONING").alias("reasoning"), F.nullif(value("ALTERNATE_VIEWS"), F.lit("")).alias("alternate_views"),
-        F.when(F.upper(flags_text).isin("NONE", ""), none).otherwise(flags).alias("risk_flags"), value("CONFIDENCE_NOTE").alias("confidence_note"))
-    something = F.exists(F.array(*(value(k) for k in SECTIONS)), lambda v: v != "")
-    return F.when(something, whole)
+    value = lambda k: strip(F.coalesce(F.element_at(got, F.lit(k)), F.lit("")))
+    flags = lambda text: F.filter(F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[-•*]+", ""))), lambda x: x != "")
+    whole = lambda v: F.struct(
+        F.get(v, 0).alias("short_answer"), F.nullif(F.get(v, 1), F.lit("")).alias("classification"), F.get(v, 2).alias("reasoning"),
+        F.nullif(F.get(v, 3), F.lit("")).alias("alternate_views"), F.when(F.upper(F.get(v, 4)).isin("NONE", ""), none).otherwise(flags(F.get(v, 4))).alias("risk_flags"),
+        F.get(v, 5).alias("confidence_note"))
+    return let(F.array(*(value(k) for k in SECTIONS)), lambda v: F.when(F.exists(v, lambda x: x != ""), whole(v)))
 
 
 def raw_layer(raw: Column) -> Column:

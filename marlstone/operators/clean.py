@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.text import strip
 
 # fixed values: pattern and replacement of each step, in order; (?d) lets only \n end a line
@@ -60,26 +61,27 @@ def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, fix_page
     ``fix_page_numbers``, which keeps the numbers of the tags and gives that piece no tag.
 
     The lines of a document and its repeated ones are worked out inside its row, so that nothing is shuffled."""
-    text = F.col(text_col)
-    pieces = F.transform(F.split(text, r"\[PAGE\s+\d+\]"), lambda p: F.filter(
-        F.transform(F.split(p, "\n"), strip), lambda x: x != ""))
     short = lambda x: (F.length(x) > 5) & (F.length(x) < 80)
-    each = F.flatten(F.transform("pieces", lambda p: F.array_distinct(F.filter(p, short))))
-    # equal lines stand together once sorted: a line is repeated if the one ``need - 1`` places on is the same
-    gone = F.array_distinct(F.filter("sorted", lambda x, i: F.get("sorted", i + F.col("need") - 1) == x))
-    body = F.filter(F.transform("pieces", lambda p, k: F.struct(
-        k.alias("k"), F.array_join(F.filter(p, lambda x: ~F.array_contains("gone", x)), "\n").alias("body"))), lambda p: p["body"].isNotNull())
-    if fix_page_numbers:
+
+    def repeated(pieces: Column) -> Column:
+        need = F.greatest(F.lit(3), F.least(F.floor(F.size(pieces) * 0.4), F.lit(15))).cast("int")
+        each = F.array_sort(F.flatten(F.transform(pieces, lambda p: F.array_distinct(F.filter(p, short)))))
+        # equal lines stand together once sorted: a line is repeated if the one ``need - 1`` places on is the same
+        return let(each, lambda lines: let(need, lambda n: F.array_distinct(F.filter(lines, lambda x, i: F.get(lines, i + n - 1) == x))))
+
+    def rewrite(text: Column) -> Column:
+        pieces = F.transform(F.split(text, r"\[PAGE\s+\d+\]"), lambda p: F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != ""))
         numbers = F.regexp_extract_all(text, F.lit(r"\[PAGE\s+(\d+)\]"))
-        shown = F.transform("body", lambda p: F.when(p["k"] == 0, p["body"]).otherwise(
-            F.concat(F.lit("[PAGE "), F.get("numbers", p["k"] - 1), F.lit("]\n"), p["body"])))
-    else:
-        numbers = F.array().cast("array<string>")
-        shown = F.transform("body", lambda p: F.concat(F.lit("[PAGE "), (p["k"] + 1).cast("string"), F.lit("]\n"), p["body"]))
-    return (docs.select(id_col, pieces.alias("pieces"), numbers.alias("numbers"))
-            .withColumns({"sorted": F.array_sort(each), "need": F.greatest(F.lit(3), F.least(
-                F.floor(F.size("pieces") * 0.4), F.lit(15))).cast("int")})
-            .withColumn("gone", gone).withColumn("body", body).select(id_col, strip(F.array_join(shown, "\n\n")).alias("text")))
+
+        def tag(k: Column, body: Column, known: Column) -> Column:
+            if fix_page_numbers:
+                return F.when(k == 0, body).otherwise(F.concat(F.lit("[PAGE "), F.get(known, k - 1), F.lit("]\n"), body))
+            return F.concat(F.lit("[PAGE "), (k + 1).cast("string"), F.lit("]\n"), body)
+
+        return let(pieces, lambda ps: let(repeated(ps), lambda gone: let(numbers, lambda known: F.array_join(F.transform(ps, lambda p, k: tag(
+            k, F.array_join(F.filter(p, lambda x: ~F.array_contains(gone, x)), "\n"), known)), "\n\n"))))
+
+    return docs.select(id_col, strip(let(F.col(text_col), rewrite)).alias("text"))
 
 
 def quality(c: Column) -> dict[str, Column]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.bind import let
 from .functions.text import tokens
 from .functions.vector import l2_normalize
 
@@ -67,9 +68,11 @@ def embed(df: DataFrame, text_col: str, factory: Callable[[], Embedder], batch:
 
 def hash_embedding(c: Column, bits: int = 4) -> Column:
     """Stand-in embedding: token counts in 2**bits buckets by the first hex digit(s) of the token's md5, at unit length."""
-    if bits % 4:
-        raise ValueError("bits must be a multiple of 4")
-    bucket = F.transform(tokens(c), lambda t: F.conv(F.substring(F.md5(t), 1, bits // 4), 16, 10).cast("int"))
-    zeros = F.array_repeat(F.lit(0.0), 2 ** bits)
-    counts = F.aggregate(bucket, zeros, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    if bits not in (4, 8):
+        raise ValueError("bits must be 4 or 8")
+    width = bits // 4
+    # the buckets of all tokens as one text, a bar before each; what is left out of it when a bucket is taken away counts it
+    marks = F.array_join(F.transform(tokens(c), lambda t: F.concat(F.lit("|"), F.substring(F.md5(t), 1, width))), "")
+    count = lambda x, k: (F.length(x) - F.length(F.replace(x, F.lit(f"|{k:0{width}x}"), F.lit("")))) / F.lit(width + 1)
+    counts = let(marks, lambda x: F.array(*(count(x, k).cast("double") for k in range(2 ** bits))))
     return l2_normalize(counts)
