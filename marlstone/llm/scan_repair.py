@@ -161,6 +161,14 @@ def furniture(lines: list[str]) -> set[int]:
                         words = text.split()
                         if len(names) == 2 and words[:2] == names and len(words) <= 6 or len(text) >= 12 and whole.endswith(text):
                             found.add(i)
+    # a short line atop a later page that neither ends a sentence nor stands alone is a head, though it is seen but once
+    widths = sorted(len(lines[i]) for p in pages for i in p if len(lines[i]) <= 120)
+    for p in pages[1:]:
+        top = next((i for i in p if i not in found), None)
+        if top is not None and top + 1 < len(lines) and lines[top + 1].strip() and not LABEL.match(lines[top]):
+            line = lines[top].strip()
+            if line[-1] not in ".,:;?!" + HYPHENS and len(line) < 0.7 * widths[len(widths) * 9 // 10] and not TAG.match(lines[top + 1]):
+                found.add(top)
     return found
 
 
