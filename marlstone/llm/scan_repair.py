@@ -49,6 +49,7 @@ for _true, _seen in CONFUSIONS.items():
 ERROR, OTHER_ERROR = math.log(0.004), math.log(0.0002)
 UNKNOWN, UNKNOWN_NAME = math.log(1e-8), math.log(2e-5)
 PAIR_WEIGHT = 0.9
+COMMON = 0.02  # share of the most frequent word's documents from which a word is common
 START = "<"
 
 
@@ -194,6 +195,7 @@ class Lexicon:
         self.after: Counter = Counter()
         for (a, _), n in pairs.items():
             self.after[a] += n
+        self.most = max(words.values(), default=0)
         self.longest = max((len(w) for w in words if len(w) <= WORD_LIMIT), default=0)
         self.blanked: dict[str, list[str]] | None = None
         self.known: dict[tuple[str, bool], list[tuple[str, float, tuple[int, ...]]]] = {}
@@ -266,6 +268,8 @@ class Lexicon:
             if s not in self.words or mixed:
                 for w, p, at in self.candidates(seen, deep):
                     ws = shape(w)
+                    if not deep and self.words[ws] < COMMON * self.most:
+                        continue  # an unknown name isn't another, rare name misread
                     row.append((ws, w, self.word(ws) + p, at))
                     doubt = True
             options.append(row)
