@@ -55,6 +55,7 @@ def with_empty(queries: DataFrame, scored: DataFrame, query_col: str = "query_id
 
 def review_reason(score: Column, top: Column, strong: Column, query: Column, settings: Settings = SETTINGS) -> Column:
     """Why a result should be looked at, NULL if it needn't; the first rule that holds. Numbers are shown to 2 places, halves up."""
+    # fixed values: the wording of the reasons
     shown = lambda c: F.round(c.cast("decimal(6,3)"), 2).cast("string")
     return (F.when(score < settings.threshold, F.concat(F.lit("Confidence score "), shown(score), F.lit(f" is below threshold {settings.threshold:.2f}")))
             .when(top < settings.weak, F.concat(F.lit("Best retrieved chunk has low similarity ("), shown(top), F.lit(") — query may be out of scope")))

@@ -118,6 +118,7 @@ def prefix_query(spark: SparkSession, root: str) -> DataFrame:
                        T.prefix_query(F.col("question"), "all-minilm").alias("plain"))
 
 
+# fixed values: phrases of unsafe queries
 UNSAFE = ["ignore previous", "system prompt", "forget instructions", "override"]
 
 
