@@ -1,6 +1,6 @@
 """Noise in text from scanned pages.
 
-Method: a noisy channel. Scanned texts are told by their wrapped lines. Page numbers and running heads and feet are found at the edges of the
+Method: a noisy channel. Scanned texts are told by wrapped lines, words hyphenated across lines and misreads. Page numbers and running heads and feet are found at the edges of the
 pages, words hyphenated across lines are put together, and every line is decoded by Viterbi over the candidate words of each token: the probability
 that the candidate's characters were misread as the token's, times the likelihood of word pairs in the corpus. The counts are taken over all
 texts that weren't scanned (over all texts if there are none); words that fewer than ``least_share`` of those have (but at least
@@ -32,6 +32,10 @@ NUMBER = re.compile(
     rf"(?:[\W_]*(?:of|0f|von|de|sur)\b[\W_]*(?:[\dOoIlZSB]{{1,4}}|{ROMAN})|\s*/\s*\d{{1,4}})?[^\w.]*", re.IGNORECASE)
 # forms that nothing but a page number has, wherever on the page
 NUMBER_ONLY = re.compile(rf"(?:page|pag|pg|p)\b[\W_]*[\dOoIlZSB]+(?:\W+[o0]f\W+[\dOoIlZSB]+)?|[-–—]\s*(?:\d{{1,4}}|{ROMAN})\s*[-–—]|\[\s*\d{{1,4}}\s*\]", re.IGNORECASE)
+NUMBERED = re.compile(r"\d+[A-Z]?\. ")  # a numbered clause begins, no sentence goes on
+MISREAD = re.compile(r"[^\W\d_]{2}[\d†!@|+][^\W\d_]{2}|[^\W\d_][†!@|ﬁﬂﬀ+][^\W\d_]|[†ﬁﬂﬀ]")
+SLACK = 3  # characters by which misreads and stray marks change a line's width
+WIDE = 75  # narrower lines are judged by the share that goes on in lower case alone
 WORD_LIMIT = 64  # a longer stretch without spaces isn't a word and has no candidates
 EDGE = 6  # lines of a page among which its head, foot and number are sought, site lines between included
 
@@ -69,17 +73,50 @@ def shape(word: str) -> str:
 
 
 def is_scanned(filename: str | None, text: str) -> bool:
-    """A PDF of wrapped lines: lines of text end in mid-sentence and go on in the next."""
+    """A PDF of wrapped lines. Evidence is any of: a word hyphenated across lines; a printed page number; a misread character inside a word
+    beside a wrap; lines that go on in lower case, many for all lines; body text broken at one common width. For the last, only the text that is
+    wrapped or too long for that width is weighed, so titles, headings, labels, furniture and short site lines have no say."""
     if filename is not None and not filename.lower().endswith(".pdf"):
         return False
     lines = [x.strip() for x in text.split("\n")]
-    wrapped = total = 0
-    for a, b in zip(lines, lines[1:] + [""]):
-        if a and not TAG.match(a):
-            total += 1
-            if 50 <= len(a) <= 120 and a[-1] not in ".:;?!" and b and not TAG.match(b) and not LABEL.match(b):
-                wrapped += b[0].islower() or b[0].isdigit() or a.isupper() and b.isupper() and not LABEL.match(a)
-    return wrapped >= 2 and wrapped >= 0.24 * total
+    total = low = 0
+    wraps: list[tuple[int, int, int, bool]] = []  # place, the widths it may be broken at, goes on in lower case
+    for i, (a, b) in enumerate(zip(lines, lines[1:] + [""])):
+        if not a:
+            continue
+        if len(a) <= 24 and not PAGE_TAG.fullmatch(a) and NUMBER_ONLY.fullmatch(a):
+            return True
+        if TAG.match(a):
+            continue
+        total += 1
+        if not (50 <= len(a) <= 120 and a[-1] not in ".:;?!" and b and not TAG.match(b) and not LABEL.match(b)):
+            continue
+        hyphen = bool(BROKEN.search(a))
+        if hyphen and b[0].islower():
+            return True
+        low += b[0].islower() or b[0].isdigit() or a.isupper() and b.isupper() and not LABEL.match(a)
+        if not NUMBERED.match(b):
+            # the next word didn't fit
+            end = len(a) + SLACK + 8 if hyphen else len(a) + len(b.split(None, 1)[0]) + SLACK
+            wraps.append((i, len(a) - SLACK, end, b[0].islower() or b[0].isdigit()))
+    if low >= 2 and low >= 0.24 * total:
+        return True
+    if not wraps:
+        return False
+    if MISREAD.search(text):
+        return True
+    at = Counter(w for _, least, most, _ in wraps for w in range(least, most + 1))
+    width = max((least + SLACK for _, least, _, _ in wraps), key=lambda w: (at[w], w))
+    if width < WIDE:
+        return False  # short lines of the site are as even as a narrow column
+    full = [(i, goes_on) for i, least, most, goes_on in wraps if least <= width <= most]
+    unwrapped = sum(len(x) > width + SLACK and not TAG.match(x) and not LABEL.match(x) for x in lines)
+    if len(full) > unwrapped and (any(goes_on for _, goes_on in full) or len(full) >= 3 and not unwrapped):
+        return True
+    # few wraps: one must be a sentence that ends in the next line
+    return len(full) >= unwrapped and any(
+        lines[i + 1].endswith(".") and not lines[i + 1].isupper() and lines[i + 1][0].isalnum() and len(lines[i + 1]) <= width + SLACK
+        and (i == 0 or not lines[i - 1] or TAG.match(lines[i - 1])) for i, _ in full)
 
 
 def _plain(line: str) -> str:

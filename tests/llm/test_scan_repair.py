@@ -50,3 +50,60 @@ def test_page_numbers_in_any_form():
         assert sr.NUMBER.fullmatch(line) or sr.NUMBER_ONLY.fullmatch(line), line
     for line in ("Section 3", "Kinmere Works.", "in 2019 and", "under file 893."):
         assert not sr.NUMBER.fullmatch(line) and not sr.NUMBER_ONLY.fullmatch(line), line
+
+
+def _lines(text):
+    return [x.strip() for x in text.strip().split("\n")]
+
+
+def test_short_scans_among_site_lines():
+    # sf0.01: parsed_id 344, wraps ahead of capitals
+    capitals = """[PAGE 1]
+Notice on glazed musical strings of assorted sizes for Marfeltaroth Felsilmere
+
+Explanation. Having heard Drabalak Brothers on 22 May 2021, entry of spun tyre cords for
+re-export through Polborrila Quay is limited to 133 tonnes as recorded at Zangarsalstead
+Basin. Under the Farrenoldale scheme notified on 8 May 2016, the freight of Galhelsalona
+Traders forms part of the value of vulcanised fan blades in the order made at Yelolzelford.
+
+Section 131A of the Customs Act and frozen palm kernels from Kalrildunia
+
+6. As the records of Zelbordunona Stores show, the test report on vulcanised fishing nets
+of mixed origin from Vengalmere holds for 660 months as argued for Ordalyelis Foundry.
+[1]"""
+    # check_l 22085: a single wrap, ahead of a capital, among site lines
+    site = """[PAGE 1]
+Subscribe to the weekly letter of Gorilrildale Customs Digest and never miss a change of rate
+Instruction on pressed cotton yarn for Felmongaroth Yarmornoreth
+
+CHAPTER 1 DUNGRIOS TELYARGORHOLM
+
+Provided that in supersession of the Caldoros notice of 24 June 2013, the broker of Urzanbraum
+Brothers chose 7013 in error as in the case of Ultorpolum and Finlordalor.
+Page 1
+Next: latest notices from Norvenune | Previous: archive 2016
+Terms of use | Privacy | Contact Gorilrildale"""
+    furniture = "\n".join(["Heading of the page", "Published by the desk of the site"] * 9)
+    hyphen = f"{furniture}\nThe certificate issued at the harbour covers only rolled water meters in the dis-\ntrict of the officer.\n{furniture}"
+    misread = f"{furniture}\nThe certificate issued at the harbour covers only rolled water meters of Gor\nStores in the pre5ence of the officer.\n{furniture}"
+    numbered = "[PAGE 1]\nOrder on roof sheets\n\nCHAPTER VI CALCORMERE KINKORFORD\n- 13 -\nTerms of use | Privacy | Contact"
+    for text in (capitals, site, hyphen, misread, numbered):
+        assert sr.is_scanned("a.pdf", "\n".join(_lines(text)))
+        assert not sr.is_scanned("a.docx", text)
+
+
+def test_site_lines_are_no_wraps():
+    # sf0.1: parsed_id 1723, where site lines and headings follow one another
+    text = """[PAGE 1]
+Terms of use | Privacy | Contact Lorsilin
+PRINTED ON 05.05.2015 FROM THE READING ROOM OF HELNELNARFORD
+Home > Notices > Helnelnarford > Read in full
+SUBSCRIBE TO THE WEEKLY LETTER OF LORSILIN CUSTOMS DIGEST AND NEVER MISS A CHANGE OF RATE
+Ruling on tempered tea leaves of one brand for Taldunan Monnordorholm
+Ref: NELD/956/2020
+Section 172A of the Customs Act and flanged bed linen for tender supply from Ordundunum
+5. Because smoked plywood panels were re-packed, the Registry of Origin Marks directs that smoked candle wax on consignment be kept.
+The broker of Telmargorash Brothers chose 5649.54 in error as agreed with Yelrilcalin and Heltulbraia. By its letter it was kept.
+Section 30 of the Customs Act and frozen welding rods without fittings from Torlenan
+Reported by Silgareth Valilfarune for the Lorsilin desk"""
+    assert not sr.is_scanned("a.pdf", text)
