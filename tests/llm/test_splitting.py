@@ -58,3 +58,20 @@ def test_table(spark):
     got = sorted(tuple(r) for r in sp.split_items(spark.createDataFrame(rows, schema), "chunk_id", "text").collect())
     assert [(r[0], r[1]) for r in got] == [("a", 0), ("a", 1), ("d", 0)]
     assert sp.split_items(spark.createDataFrame([], schema), "chunk_id", "text").count() == 0
+
+
+def test_pieces_of_oversized_chunks(spark):
+    import __spark_entry__ as entry
+
+    root = "/root/testdata/sf0.001"
+    chunks = spark.read.parquet(f"{root}/chunks.parquet").where("length(text) > 800").select("chunk_id", "text").distinct().collect()
+    got = {}
+    for r in entry.queries()["p7_chunk_pieces"](spark, root).orderBy("chunk_id", "chunk_index").collect():
+        got.setdefault(r["chunk_id"], []).append(r)
+    assert chunks and set(got) == {c["chunk_id"] for c in chunks}
+    for chunk_id, text in chunks:
+        whole = ""
+        for k, r in enumerate(got[chunk_id]):
+            assert r["chunk_index"] == k and len(r["text"]) <= 800 and len(whole) - 120 <= r["start"] <= len(whole)
+            whole = whole[:r["start"]] + r["text"]
+        assert len(got[chunk_id]) > 1 and whole == text
