@@ -256,14 +256,25 @@ class Graph:
         return mine.select("id", F.posexplode("near").alias("p", "x")).select(
             "id", F.col("x.other").alias("other_id"), F.col("x.sim").alias("similarity"), (F.col("p") + 1).alias("rank"))
 
-    def search(self, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, beam: int = 64, steps: int = 12) -> DataFrame:
+    def _components(self, both: DataFrame) -> DataFrame:
+        """(v): the smallest vector of each connected part of the graph. Labels spread to neighbours and jump to their label's label until none changes."""
+        label = cut(self.heads.select("v", F.col("v").alias("c")))
+        while True:
+            near = both.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("n"))
+            least = cut(label.join(near, "v", "left").select("v", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+            if least.where("moved").isEmpty():
+                return label.where("v = c").select("v")
+            label = cut(least.select("v", F.col("c").alias("p")).join(least.select(F.col("v").alias("p"), "c"), "p").select("v", "c"))
+
+    def search(self, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, beam: int = 64, others_only: bool = False) -> DataFrame:
         """(query_id, other_id, similarity, rank): greedy graph search. Each query keeps its ``beam`` best vectors so far and, in each step, visits the
-        neighbours of those not visited from yet, until no query improves. The first vectors are a few spread over the collection."""
-        spark = queries.sparkSession
+        neighbours of those not visited from yet, until no query has any. The first vectors are a few spread over the collection and one of each
+        connected part of the graph. With ``others_only`` the queries are of the collection, and none is its own neighbour."""
         asked = cut(usable(queries, id_col, vec_col, dim).select(F.col("id").alias("q"), F.col("vec").alias("q_vec")))
         both = cut(self.edges.select("v", "u").unionByName(self.edges.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct())
-        starts = self.heads.select("v", "vec").orderBy(F.xxhash64("v")).limit(beam)
-        pairs = asked.crossJoin(F.broadcast(starts))  # a fixed number of entry vectors
+        spread_out = self.heads.select("v").orderBy(F.xxhash64("v")).limit(beam)
+        starts = cut(spread_out.unionByName(self._components(both)).distinct().join(self.heads.select("v", "vec"), "v"))
+        pairs = asked.crossJoin(starts)
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -275,17 +286,18 @@ class Graph:
         schema = f"q {kind}, v bigint, sim double"
         rank = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
         held = cut(pairs.mapInPandas(score, schema).withColumn("done", F.lit(False)))
-        for _ in range(steps):
+        # a vector that left a beam never comes back, as beams only get better: so this ends
+        while not held.where("not done").isEmpty():
             hops = (held.where("not done").select("q", "v").join(both, "v").select("q", F.col("u").alias("v")).distinct()
                     .join(held.select("q", "v"), ["q", "v"], "left_anti")
                     .join(self.heads.select("v", "vec"), "v").join(asked, "q"))
             new = hops.mapInPandas(score, schema).withColumn("done", F.lit(False))
             held = cut(held.withColumn("done", F.lit(True)).unionByName(new).withColumn("r", F.row_number().over(rank))
                        .where(F.col("r") <= beam).drop("r"))
-            if held.where("not done").isEmpty():
-                break
-        few = _smallest(cut(self.members), k)
+        few = _smallest(cut(self.members), k + 1)
         near = held.join(few, "v").select("q", F.explode("ids").alias("other_id"), F.round("sim", 6).alias("similarity"))
+        if others_only:
+            near = near.where("q <> other_id")
         order = Window.partitionBy("q").orderBy(F.desc("similarity"), "other_id")
         return (near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
                 .select(F.col("q").alias("query_id"), "other_id", "similarity", "rank"))

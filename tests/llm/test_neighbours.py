@@ -56,3 +56,17 @@ def test_search(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(f"c{i:04}", f"c{j:04}") for i in range(0, 500, 100) for j in np.argsort(-(u @ u[i]))[:5]}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_search_reaches_every_part_and_leaves_the_query_out(spark):
+    # 100 tight groups far from one another: with few neighbours a vector, most hold none of a few first vectors
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 16))
+    x = (np.repeat(centres, 8, 0) + 0.01 * rng.standard_normal((800, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(f"c{i:04}", v.tolist(), 1, "", 2) for i, v in enumerate(x)], SCHEMA)
+    graph = nb.Graph(rows, "chunk_id", "embedding", 16, degree=6)
+    got = [(r[0], r[1]) for r in graph.search(rows.where("chunk_id like '%0'"), "chunk_id", "embedding", 16, 5, 8, others_only=True).collect()]
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"c{i:04}", f"c{j:04}") for i in range(0, 800, 10) for j in [j for j in np.argsort(-(u @ u[i])) if j != i][:5]}
+    assert len(got) == 400 and all(a != b for a, b in got)
+    assert len(set(got) & want) / len(want) >= 0.97
