@@ -11,8 +11,8 @@ AUTHORITY = {
 }
 # fixed values: output width of known embedding models
 EMBEDDING_DIMENSIONS = {
-    "nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384, "text-embedding-3-small": 1536,
-    "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536,
+    "nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384, "bge-large": 1024, "text-embedding-3-small": 1536,
+    "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "models/embedding-001": 768, "models/text-embedding-004": 768,
 }
 DEFAULT_TYPE = "Other"
 

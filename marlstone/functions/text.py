@@ -1,4 +1,4 @@
-"""Column functions for text. Classes are spelled out for Unicode: \\p{L}\\p{N}_ for word characters."""
+"""Column functions for text. Classes are spelled out for Unicode, as the short ones know ASCII only: \\p{L}\\p{N}_ for word characters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+DIGIT = r"\p{Nd}"
+BLANKS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{BLANKS}]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:

@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.text import strip, token_estimate
+from ..functions.text import DIGIT, SPACE, strip, token_estimate
 from ..runtime import spread
 from .clean import strip_tags
 from .extract import chunk_fields, page_number
 
 # fixed patterns: a line that begins with one of these opens a section
 BOUNDARY = (
-    r"\n(?=\d+[A-Z]?\.|Section\s+\d+|CHAPTER\s+[IVXLC]+|PART\s+[IVXLC]+|Rule\s+\d+"
-    r"|Explanation\.|Provided\s+that|Provided\s+further|Illustration)"
+    rf"(?i)\n(?:{DIGIT}+[A-Z]?\.|Section{SPACE}+{DIGIT}+[A-Z]?|CHAPTER{SPACE}+[IVXLC]+|PART{SPACE}+[IVXLC]+|Rule{SPACE}+{DIGIT}+"
+    rf"|Explanation\.|Provided{SPACE}+that|Provided{SPACE}+further|Illustration)"
 )
+MARK = "\x00\x01\x00"  # put ahead of a boundary; no text has these characters in a row
 # fixed values: separators in order of preference
 SEPARATORS = (
     "\nCHAPTER ", "\nSECTION ", "\nPART ", "\nSCHEDULE ", "\nANNEXURE ", "\nRule ", "\nRULE ", "\nClause ", "\nArticle ", "\nSection ",
@@ -28,8 +29,9 @@ SEPARATORS = (
 
 
 def sections(c: Column) -> Column:
-    """Array of the stripped, non-empty pieces; a boundary stays with the piece behind it."""
-    return F.filter(F.transform(F.split(c, "(?i)" + BOUNDARY), strip), lambda x: x != "")
+    """Array of the stripped, non-empty pieces; a boundary stays with the piece behind it. Boundaries don't overlap: where a number stands on the
+    line behind its keyword, the keyword's line opens the section and the number's doesn't."""
+    return F.filter(F.transform(F.split(F.regexp_replace(c, BOUNDARY, MARK + "$0"), MARK), strip), lambda x: x != "")
 
 
 def _keep_with_next(text: str, separator: str) -> list[str]:

@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
-from ..functions.text import strip
+from ..functions.text import BLANKS, DIGIT, LINE_END, SPACE, WORD, strip
 
 # fixed values: pattern and replacement of each step, in order; (?d) lets only \n end a line
 STEPS = (
     ("carriage_return", r"\r", "\n"),
-    ("footnote_marker", r"\b\d{1,2}\[", "["),
-    ("omission_stars", r"(?md)^\d*\s*\*[\s*]*$", ""),
-    ("number_line", r"(?md)^\s*\d+\s*$", ""),
-    ("page_line", r"(?imd)^\s*Page\s+\d+\s*$", ""),
+    ("footnote_marker", rf"(?<![{WORD}]){DIGIT}{{1,2}}\[", "["),
+    ("omission_stars", rf"(?md)^{DIGIT}*{SPACE}*\*[{BLANKS}*]*$", ""),
+    ("number_line", rf"(?md)^{SPACE}*{DIGIT}+{SPACE}*$", ""),
+    ("page_line", rf"(?imd)^{SPACE}*Page{SPACE}+{DIGIT}+{SPACE}*$", ""),
     ("separator", r"[_\-]{5,}", ""),
     ("boilerplate", r"(?id)\*Subject to verification.*", ""),
     ("soft_newline", r"(?d)(?<!\n)\n(?!\n)(?!\[PAGE)(?!.*\|)", " "),
-    ("amendment_note", r"(?imd)^\d+\.\s+(Subs\.|Ins\.|Omitted|Inserted|Added|Renumbered).*$", ""),
-    ("dated_note", r"(?imd)^\d+\.\s+\d{1,2}(st|nd|rd|th)\s+[\p{L}\p{N}_]+.*$", ""),
-    ("blank_lines", r"\n\s*\n\s*\n+", "\n\n"),
+    ("amendment_note", rf"(?imd)^{DIGIT}+\.{SPACE}+(Subs\.|Ins\.|Omitted|Inserted|Added|Renumbered).*$", ""),
+    ("dated_note", rf"(?imd)^{DIGIT}+\.{SPACE}+{DIGIT}{{1,2}}(st|nd|rd|th){SPACE}+[{WORD}]+.*$", ""),
+    ("blank_lines", rf"\n{SPACE}*\n{SPACE}*\n+", "\n\n"),
     ("blanks", r"[ \t]+", " "),
 )
 
@@ -35,16 +35,19 @@ def clean(c: Column, *names: str) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """Without page and sheet tags, blank lines and blanks squeezed."""
-    for pattern, new in ((r"\[PAGE \d+\]", ""), (r"\[SHEET:[^\]]*\]", ""), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
+    for pattern, new in ((rf"\[PAGE {DIGIT}+\]", ""), (r"\[SHEET:[^\]]+\]", ""), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
         c = F.regexp_replace(c, pattern, new)
     return strip(c)
 
 
+PAGE_TAG = rf"\[PAGE{SPACE}+{DIGIT}+\]"
+
+
 def page_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, page, pages, line_no, line): non-blank stripped lines; pages are the pieces between tags, numbered from 1."""
-    pieces = F.split(F.col(text_col), r"\[PAGE\s+\d+\]")
+    pieces = F.split(F.col(text_col), PAGE_TAG)
     return (docs.select(id_col, F.size(pieces).alias("pages"), F.posexplode(pieces).alias("p", "piece"))
-            .select(id_col, "pages", (F.col("p") + 1).alias("page"), F.posexplode(F.split("piece", "\n")).alias("line_no", "raw"))
+            .select(id_col, "pages", (F.col("p") + 1).alias("page"), F.posexplode(F.split("piece", LINE_END)).alias("line_no", "raw"))
             .select(id_col, "pages", "page", "line_no", strip(F.col("raw")).alias("line")).where("line <> ''"))
 
 
@@ -57,7 +60,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, fix_page_numbers: bool = False) -> DataFrame:
-    """(id, text): pages written again as ``[PAGE k]`` and their lines. The piece before the first tag counts as a page unless
+    """(id, text): pages written again as ``[PAGE k]`` and their lines, without a blank line between pages. The piece before the first tag counts as a page unless
     ``fix_page_numbers``, which keeps the numbers of the tags and gives that piece no tag.
 
     The lines of a document and its repeated ones are worked out inside its row, so that nothing is shuffled."""
@@ -70,18 +73,18 @@ def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, fix_page
         return let(each, lambda lines: let(need, lambda n: F.array_distinct(F.filter(lines, lambda x, i: F.get(lines, i + n - 1) == x))))
 
     def rewrite(text: Column) -> Column:
-        pieces = F.transform(F.split(text, r"\[PAGE\s+\d+\]"), lambda p: F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != ""))
-        numbers = F.regexp_extract_all(text, F.lit(r"\[PAGE\s+(\d+)\]"))
+        pieces = F.transform(F.split(text, PAGE_TAG), lambda p: F.filter(F.transform(F.split(p, LINE_END), strip), lambda x: x != ""))
+        numbers = F.regexp_extract_all(text, F.lit(rf"\[PAGE{SPACE}+({DIGIT}+)\]"))
 
-        def tag(k: Column, body: Column, known: Column) -> Column:
+        def tag(k: Column, known: Column) -> Column:
             if fix_page_numbers:
-                return F.when(k == 0, body).otherwise(F.concat(F.lit("[PAGE "), F.get(known, k - 1), F.lit("]\n"), body))
-            return F.concat(F.lit("[PAGE "), (k + 1).cast("string"), F.lit("]\n"), body)
+                return F.when(k > 0, F.array(F.concat(F.lit("[PAGE "), F.get(known, k - 1), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+            return F.array(F.concat(F.lit("[PAGE "), (k + 1).cast("string"), F.lit("]")))
 
-        return let(pieces, lambda ps: let(repeated(ps), lambda gone: let(numbers, lambda known: F.array_join(F.transform(ps, lambda p, k: tag(
-            k, F.array_join(F.filter(p, lambda x: ~F.array_contains(gone, x)), "\n"), known)), "\n\n"))))
+        return let(pieces, lambda ps: let(repeated(ps), lambda gone: let(numbers, lambda known: F.array_join(F.flatten(F.transform(
+            ps, lambda p, k: F.concat(tag(k, known), F.filter(p, lambda x: ~F.array_contains(gone, x))))), "\n"))))
 
-    return docs.select(id_col, strip(let(F.col(text_col), rewrite)).alias("text"))
+    return docs.select(id_col, let(F.col(text_col), rewrite).alias("text"))
 
 
 def quality(c: Column) -> dict[str, Column]:
@@ -89,7 +92,7 @@ def quality(c: Column) -> dict[str, Column]:
     return {
         "chars": F.length(c).cast("bigint"), "page_tags": F.regexp_count(c, F.lit(r"\[PAGE")).cast("bigint"),
         "blank_lines": F.regexp_count(c, F.lit(r"\n\n")).cast("bigint"),
-        "ocr_noise": c.rlike(r"[^\p{L}\p{N}_\s.,:;()%/\-\[\]]{15,}"),
+        "ocr_noise": c.rlike(r"[^" + WORD + BLANKS + r".,:;()%/\-\[\]]{15,}"),
     }
 
 

@@ -9,7 +9,7 @@ from ..config import SETTINGS
 from ..functions import text as T
 from ..operators import chunk, clean, extract
 from ..runtime import table
-from .common import SP, found, strip, sub
+from .common import SP, W, found, strip, sub
 
 PLAIN_STEPS = ("carriage_return", "footnote_marker", "omission_stars", "number_line", "page_line", "separator", "boilerplate", "blank_lines", "blanks")
 
@@ -140,63 +140,80 @@ QUERIES = {f.__name__: f for f in (
     page_fill_forward, merge_short_chunks, normalise_query, prefix_query, unsafe_query, collection_names)}
 
 
-def _chain(c: str, *steps: tuple[str, str]) -> str:
+def _steps(c: str, *steps: tuple[str, str]) -> str:
     for pattern, new in steps:
         c = sub(c, pattern, new)
-    return strip(c)
+    return c
+
+
+def _chain(c: str, *steps: tuple[str, str]) -> str:
+    return strip(_steps(c, *steps))
 
 
 CR = (r"\r", "chr(10)")
-PLAIN_SQL = _chain(
-    "raw_text", CR, (r"\b\d{1,2}\[", "'['"), (r"(?m)^\d*\s*\*[\s*]*$", "''"), (r"(?m)^\s*\d+\s*$", "''"), (r"(?im)^\s*Page\s+\d+\s*$", "''"),
-    (r"[_\-]{5,}", "''"), (r"(?i)\*Subject to verification.*", "''"), (r"\n\s*\n\s*\n+", "chr(10) || chr(10)"), (r"[ \t]+", "' '"))
-# without lookaround: a line is joined to the one before unless one of both is empty, it begins with [PAGE, or it has a bar
-SOFT_SQL = """with l as (select parsed_id, unnest(generate_series(1, len(x))) n, unnest(x) line from (
-        select parsed_id, string_split(regexp_replace(raw_text, '\\r', chr(10), 'g'), chr(10)) x from parsed_documents)),
+EARLY = (CR, (r"\b\p{Nd}{1,2}\[", "'['"), (rf"(?m)^\p{{Nd}}*{SP}*\*({SP}|\*)*$", "''"), (rf"(?m)^{SP}*\p{{Nd}}+{SP}*$", "''"),
+         (rf"(?im)^{SP}*Page{SP}+\p{{Nd}}+{SP}*$", "''"), (r"[_\-]{5,}", "''"), (r"(?i)\*Subject to verification.*", "''"))
+NOTES = ((rf"(?im)^\p{{Nd}}+\.{SP}+(Subs\.|Ins\.|Omitted|Inserted|Added|Renumbered).*$", "''"),
+         (rf"(?im)^\p{{Nd}}+\.{SP}+\p{{Nd}}{{1,2}}(st|nd|rd|th){SP}+[{W}]+.*$", "''"))
+LATE = ((rf"\n{SP}*\n{SP}*\n+", "chr(10) || chr(10)"), (r"[ \t]+", "' '"))
+
+
+def _joined(text: str) -> str:
+    """Without lookaround: a line is joined to the one before unless one of both is empty, it begins with [PAGE, or it has a bar."""
+    return f"""l as (select parsed_id, unnest(generate_series(1, len(x))) n, unnest(x) line from (
+        select parsed_id, string_split({text}, chr(10)) x from parsed_documents)),
     j as (select *, lag(line) over (partition by parsed_id order by n) before from l),
     s as (select parsed_id, n, case when n = 1 then '' when before = '' or line = '' or starts_with(line, '[PAGE') or contains(line, '|')
-        then chr(10) else ' ' end || line piece from j)
-    select parsed_id, """ + strip("string_agg(piece, '' order by n)") + " joined from s group by parsed_id"
+        then chr(10) else ' ' end || line piece from j),
+    jo as (select parsed_id, string_agg(piece, '' order by n) joined from s group by parsed_id)"""
+
 
-LINES_SQL = """lines as (select parsed_id, pages, page, unnest(generate_series(1, len(l))) line_no, unnest(l) raw from (
-        select parsed_id, len(p) pages, unnest(generate_series(1, len(p))) page, string_split(unnest(p), chr(10)) l from (
-            select parsed_id, string_split_regex(raw_text, '\\[PAGE\\s+\\d+\\]') p from parsed_documents))),
-    stripped as (select parsed_id, pages, page, line_no, """ + strip("raw") + """ line from lines),
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+LINES_SQL = f"""lines as (select parsed_id, pages, page, unnest(generate_series(1, len(l))) line_no, unnest(l) raw from (
+        select parsed_id, len(p) pages, unnest(generate_series(1, len(p))) page, string_split_regex(unnest(p), '{LINE_END}') l from (
+            select parsed_id, string_split_regex(raw_text, '\\[PAGE{SP}+\\p{{Nd}}+\\]') p from parsed_documents))),
+    stripped as (select parsed_id, pages, page, line_no, {strip("raw")} line from lines),
     repeated as (select parsed_id, line, count(distinct page) on_pages from stripped where length(line) between 6 and 79
         group by parsed_id, line having count(distinct page) >= greatest(3, least(floor(any_value(pages) * 0.4::double)::int, 15)))"""
-BOUNDARY_SQL = (r"(?i)^(\d+[A-Z]?\.|Section\s+\d+|CHAPTER\s+[IVXLC]+|PART\s+[IVXLC]+|Rule\s+\d+"
-                r"|Explanation\.|Provided\s+that|Provided\s+further|Illustration)")
+BOUNDARY_SQL = (rf"(?i)(\n(?:\p{{Nd}}+[A-Z]?\.|Section{SP}+\p{{Nd}}+[A-Z]?|CHAPTER{SP}+[IVXLC]+|PART{SP}+[IVXLC]+|Rule{SP}+\p{{Nd}}+"
+                rf"|Explanation\.|Provided{SP}+that|Provided{SP}+further|Illustration))")
+# word boundaries of Unicode words, without lookaround: the characters on either side are read as well
+DOC_FIELDS = {
+    "chapter": rf"(?i)CHAPTER{SP}+([IVXLC0-9]+)", "section": rf"(?i)(?:^|[^{W}])Section{SP}+(\p{{Nd}}+[A-Z]?)",
+    "notification_number": rf"(?i)Notification{SP}+No\.?{SP}*([{W}/-]+)",
+    "hs_code": rf"(?:^|[^{W}])(\p{{Nd}}{{4}}(?:\.\p{{Nd}}{{2}})?(?:\.\p{{Nd}}{{2}})?)(?:$|[^{W}])",
+    "customs_section": rf"(?i)(?:^|[^{W}])Section{SP}+(\p{{Nd}}+[A-Z]?){SP}+of{SP}+the{SP}+Customs{SP}+Act",
+}
+CHUNK_FIELDS = {
+    "section": rf"(?i)Section{SP}+(\p{{Nd}}+[A-Z]?)", "chapter": rf"(?i)CHAPTER{SP}+(\p{{Nd}}{{1,2}})",
+    "notification": rf"(?i)Notification{SP}+No\.?{SP}*([{W}/-]+)",
+    "hs_code": rf"(?:^|[^{W}])(\p{{Nd}}{{4}}\.\p{{Nd}}{{2}}(?:\.\p{{Nd}}{{2}})?)(?:$|[^{W}])", "page_number": r"\[PAGE (\p{Nd}+)\]",
+}
 
 SQL = {
-    "clean_steps": f"select parsed_id, {PLAIN_SQL} clean_text from parsed_documents",
-    "soft_newline_join": SOFT_SQL,
-    "amendment_footnotes": "select parsed_id, " + _chain(
-        "raw_text", (r"(?im)^\d+\.\s+(Subs\.|Ins\.|Omitted|Inserted|Added|Renumbered).*$", "''"),
-        (r"(?im)^\d+\.\s+\d{1,2}(st|nd|rd|th)\s+[\p{L}\p{N}_]+.*$", "''")) + " clean_text from parsed_documents",
+    "clean_steps": f"select parsed_id, {_chain('raw_text', *EARLY, *LATE)} clean_text from parsed_documents",
+    "clean_full": f"with {_joined(_steps('raw_text', *EARLY))} select parsed_id, {_chain('joined', *NOTES, *LATE)} clean_text from jo",
+    "soft_newline_join": f"with {_joined(_steps('raw_text', CR))} select parsed_id, {strip('joined')} joined from jo",
+    "amendment_footnotes": f"select parsed_id, {_chain('raw_text', *NOTES)} clean_text from parsed_documents",
     "strip_tags": "select parsed_id, " + _chain(
-        "raw_text", (r"\[PAGE \d+\]", "''"), (r"\[SHEET:[^\]]*\]", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (r"[ \t]{2,}", "' '"))
+        "raw_text", (r"\[PAGE \p{Nd}+\]", "''"), (r"\[SHEET:[^\]]+\]", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (r"[ \t]{2,}", "' '"))
         + " clean_text from parsed_documents",
     "repeated_lines": f"with {LINES_SQL} select parsed_id, line, on_pages from repeated",
     "strip_repeated": f"""with {LINES_SQL},
         kept as (select s.*, r.line is null and s.line <> '' keep from stripped s left join repeated r on s.parsed_id = r.parsed_id and s.line = r.line),
-        bodies as (select parsed_id, page, coalesce(string_agg(line, chr(10) order by line_no) filter (keep), '') body from kept group by all)
-        select parsed_id, {strip("string_agg('[PAGE ' || page || ']' || chr(10) || body, chr(10) || chr(10) order by page)")} as text
-        from bodies group by parsed_id""",
-    "extract_doc_meta": "select parsed_id, " + ", ".join(
-        f"{found('raw_text', p.replace('?:', '?:'), g)} {k}" for k, p, g in extract.DOCUMENT_FIELDS) + " from parsed_documents",
-    "extract_chunk_meta": "select chunk_id, " + ", ".join(f"{found('text', p, g)} {k}" for k, p, g in extract.CHUNK_FIELDS)
-        + f", {found('text', r'[[]PAGE ([0-9]+)[]]')}::int page_number from (select distinct chunk_id, text from chunks)",
-    "enrich_metadata": "select parsed_id, " + ", ".join(
-        f"coalesce({found('raw_text', p, g)}, {k}) {k}" for k, p, g in extract.DOCUMENT_FIELDS) + " from parsed_documents",
+        pages as (select parsed_id, page, '[PAGE ' || page || ']' || coalesce(chr(10) || string_agg(line, chr(10) order by line_no) filter (keep), '') page_text from kept group by parsed_id, page)
+        select parsed_id, string_agg(page_text, chr(10) order by page) as text from pages group by parsed_id""",
+    "extract_doc_meta": "select parsed_id, " + ", ".join(f"{found('raw_text', p)} {k}" for k, p in DOC_FIELDS.items()) + " from parsed_documents",
+    "extract_chunk_meta": "select chunk_id, " + ", ".join(f"{found('text', p)}{'::int' if k == 'page_number' else ''} {k}" for k, p in CHUNK_FIELDS.items())
+        + " from (select distinct chunk_id, text from chunks)",
+    "enrich_metadata": "select parsed_id, " + ", ".join(f"{found('raw_text', p)} {k}" for k, p in DOC_FIELDS.items()) + " from parsed_documents",
     "quality_report": r"""select parsed_id, length(raw_text) chars, len(regexp_extract_all(raw_text, '\[PAGE')) page_tags,
-        len(regexp_extract_all(raw_text, '\n\n')) blank_lines, regexp_matches(raw_text, '[^\p{L}\p{N}_\s.,:;()%/\-\[\]]{15,}') ocr_noise
+        len(regexp_extract_all(raw_text, '\n\n')) blank_lines, regexp_matches(raw_text, '[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,:;()%/\-\[\]]{15,}') ocr_noise
         from parsed_documents""",
     "fingerprint": "select parsed_id, sha256(raw_text) fingerprint, sha256(raw_text) = document_hash as_recorded from parsed_documents",
-    "legal_sections": f"""with l as (select parsed_id, unnest(generate_series(1, len(x))) n, unnest(x) line from (
-            select parsed_id, string_split(raw_text, chr(10)) x from parsed_documents)),
-        g as (select *, sum(case when n > 1 and regexp_matches(line, '{BOUNDARY_SQL}') then 1 else 0 end) over (partition by parsed_id order by n) k from l),
-        s as (select parsed_id, k, {strip("string_agg(line, chr(10) order by n)")} as section from g group by parsed_id, k)
-        select parsed_id, (row_number() over (partition by parsed_id order by k) - 1)::int section_no, section from s where section <> ''""",
+    "legal_sections": f"""with p as (select parsed_id, unnest(generate_series(1, len(x))) n, {strip("unnest(x)")} as section from (
+            select parsed_id, string_split(regexp_replace(raw_text, '{BOUNDARY_SQL}', chr(1) || '\\1', 'g'), chr(1)) x from parsed_documents))
+        select parsed_id, (row_number() over (partition by parsed_id order by n) - 1)::int section_no, section from p where section <> ''""",
     "chunk_window_special": f"""with s as (select parsed_id, regexp_replace(raw_text, '[\\s.]+', '', 'g') t from parsed_documents),
         w as (select parsed_id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 800) / 680.0)::int))) i from s where t <> '')
         select parsed_id, i::int chunk_index, {strip("substring(t, 680 * i::int + 1, 800)")} raw from w""",

@@ -1,5 +1,6 @@
 """Pieces of SQL that several checks share."""
 
+W = r"\p{L}\p{N}_"
 SP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
