@@ -9,12 +9,13 @@ WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 BLANKS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{BLANKS}]"
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
     """White space off both ends, not only blanks."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def tokens(c: Column) -> Column:

@@ -43,46 +43,48 @@ def strip_tags(c: Column) -> Column:
 PAGE_TAG = rf"\[PAGE{SPACE}+{DIGIT}+\]"
 
 
+def _pieces(text: Column) -> Column:
+    """Per piece between page tags its stripped lines, blank ones left out."""
+    return F.transform(F.split(text, PAGE_TAG), lambda p: F.filter(F.transform(F.split(p, LINE_END), strip), lambda x: x != ""))
+
+
+def _repeated(pieces: Column) -> Column:
+    """Array of (line, on_pages): lines of 6..79 characters on at least max(3, min(0.4 of the pages, 15)) pieces."""
+    short = lambda x: (F.length(x) > 5) & (F.length(x) < 80)
+    need = F.greatest(F.lit(3), F.least(F.floor(F.size(pieces) * 0.4), F.lit(15))).cast("int")
+    each = F.array_sort(F.flatten(F.transform(pieces, lambda p: F.array_distinct(F.filter(p, short)))))
+    # equal lines stand together once sorted: a line is repeated if the one ``need - 1`` places on is the same
+    often = lambda lines: let(need, lambda n: F.array_distinct(F.filter(lines, lambda x, i: F.get(lines, i + n - 1) == x)))
+    return let(each, lambda lines: F.transform(often(lines), lambda x: F.struct(
+        x.alias("line"), F.size(F.filter(lines, lambda y: y == x)).cast("bigint").alias("on_pages"))))
+
+
 def page_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, page, pages, line_no, line): non-blank stripped lines; pages are the pieces between tags, numbered from 1."""
-    pieces = F.split(F.col(text_col), PAGE_TAG)
-    return (docs.select(id_col, F.size(pieces).alias("pages"), F.posexplode(pieces).alias("p", "piece"))
-            .select(id_col, "pages", (F.col("p") + 1).alias("page"), F.posexplode(F.split("piece", LINE_END)).alias("line_no", "raw"))
-            .select(id_col, "pages", "page", "line_no", strip(F.col("raw")).alias("line")).where("line <> ''"))
+    """(id, page, pages, line): non-blank stripped lines in order; pages are the pieces between tags, numbered from 1."""
+    rows = let(_pieces(F.col(text_col)), lambda ps: F.flatten(F.transform(ps, lambda p, k: F.transform(p, lambda x: F.struct(
+        (k + 1).alias("page"), F.size(ps).alias("pages"), x.alias("line"))))))
+    return docs.select(id_col, F.inline(rows))
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, on_pages): lines of 6..79 characters on at least max(3, min(0.4 of the pages, 15)) pages of a document."""
-    return (page_lines(docs, id_col, text_col).where((F.length("line") > 5) & (F.length("line") < 80))
-            .groupBy(id_col, "line").agg(F.countDistinct("page").alias("on_pages"), F.first("pages").alias("pages"))
-            .where(F.col("on_pages") >= F.greatest(F.lit(3), F.least(F.floor(F.col("pages") * 0.4), F.lit(15))))
-            .select(id_col, "line", "on_pages"))
+    """(id, line, on_pages): a document's repeated lines. They are worked out inside its row, so that nothing is shuffled."""
+    return docs.select(id_col, F.inline(let(_pieces(F.col(text_col)), _repeated)))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, fix_page_numbers: bool = False) -> DataFrame:
-    """(id, text): pages written again as ``[PAGE k]`` and their lines, without a blank line between pages. The piece before the first tag counts as a page unless
-    ``fix_page_numbers``, which keeps the numbers of the tags and gives that piece no tag.
+    """(id, text): pages written again as ``[PAGE k]`` and their lines, without a blank line between pages. The piece before the first tag counts as
+    a page unless ``fix_page_numbers``, which keeps the numbers of the tags and gives that piece no tag."""
 
-    The lines of a document and its repeated ones are worked out inside its row, so that nothing is shuffled."""
-    short = lambda x: (F.length(x) > 5) & (F.length(x) < 80)
-
-    def repeated(pieces: Column) -> Column:
-        need = F.greatest(F.lit(3), F.least(F.floor(F.size(pieces) * 0.4), F.lit(15))).cast("int")
-        each = F.array_sort(F.flatten(F.transform(pieces, lambda p: F.array_distinct(F.filter(p, short)))))
-        # equal lines stand together once sorted: a line is repeated if the one ``need - 1`` places on is the same
-        return let(each, lambda lines: let(need, lambda n: F.array_distinct(F.filter(lines, lambda x, i: F.get(lines, i + n - 1) == x))))
+    def tag(k: Column, known: Column) -> Column:
+        if fix_page_numbers:
+            return F.when(k > 0, F.array(F.concat(F.lit("[PAGE "), F.get(known, k - 1), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+        return F.array(F.concat(F.lit("[PAGE "), (k + 1).cast("string"), F.lit("]")))
 
     def rewrite(text: Column) -> Column:
-        pieces = F.transform(F.split(text, PAGE_TAG), lambda p: F.filter(F.transform(F.split(p, LINE_END), strip), lambda x: x != ""))
         numbers = F.regexp_extract_all(text, F.lit(rf"\[PAGE{SPACE}+({DIGIT}+)\]"))
-
-        def tag(k: Column, known: Column) -> Column:
-            if fix_page_numbers:
-                return F.when(k > 0, F.array(F.concat(F.lit("[PAGE "), F.get(known, k - 1), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-            return F.array(F.concat(F.lit("[PAGE "), (k + 1).cast("string"), F.lit("]")))
-
-        return let(pieces, lambda ps: let(repeated(ps), lambda gone: let(numbers, lambda known: F.array_join(F.flatten(F.transform(
-            ps, lambda p, k: F.concat(tag(k, known), F.filter(p, lambda x: ~F.array_contains(gone, x))))), "\n"))))
+        gone = lambda ps: F.transform(_repeated(ps), lambda r: r["line"])
+        return let(_pieces(text), lambda ps: let(gone(ps), lambda out: let(numbers, lambda known: F.array_join(F.flatten(F.transform(
+            ps, lambda p, k: F.concat(tag(k, known), F.filter(p, lambda x: ~F.array_contains(out, x))))), "\n"))))
 
     return docs.select(id_col, let(F.col(text_col), rewrite).alias("text"))
 
