@@ -19,17 +19,19 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, spread
 
-LABEL = re.compile(r"[^\w\[]*[^\W\d_][^\n:|\[\]]{0,40}?\s*:\s*\S")
+LABEL = re.compile(r"[^\w\[]*[^\W\d_][^\n:|\[\]]*:\s*\S")
 TAG = re.compile(r"[^\w\[]*\[\s*PAGE\s+\d+\s*\]\s*", re.IGNORECASE)
+ENDS = (".", ":", ";", "?", "!", "।")
 ROW = re.compile(r"[^\w\[]*\[\s*ROW\s+\d+\s*\]", re.IGNORECASE)
 
 
 def fields(text: str) -> list[tuple[int, str]]:
-    """(part, raw value) of a text. The first run of at least two ``Label: value`` lines (blank lines between them allowed) before any row is its
-    header (it may go on behind a page tag); running text on either side is one value, whatever its line breaks."""
+    """(part, raw value) of a text. Its header is the first run of at least two ``Label: value`` lines (blank lines between them allowed) before any row,
+    where it leads the running text: behind nothing, or with a title straight before it, a line that doesn't end a sentence. It may go on behind a page
+    tag. Running text on either side is one value, whatever its line breaks."""
     lines = text.split("\n")
     start = end = -1
-    i = 0
+    i, title = 0, ""
     while i < len(lines):
         if ROW.match(lines[i]):
             break
@@ -40,10 +42,13 @@ def fields(text: str) -> list[tuple[int, str]]:
                     last, n = j, n + 1
                 j += 1
             if n >= 2:
-                start, end = i, last
+                if not title.endswith(ENDS):
+                    start, end = i, last
                 break
-            i = j
+            title, i = lines[last].strip(), j
         else:
+            if lines[i].strip() and not TAG.fullmatch(lines[i]):
+                title = lines[i].strip()
             i += 1
     out: list[tuple[int, str]] = []
     part, body = 0, []

@@ -8,7 +8,7 @@ characters, and pairs with ``span`` characters in common remain.
 
 Equal texts are one class and take part once. Equal surroundings of a phrase are one context, and pairs are formed between contexts, not
 documents. A phrase with many contexts is not paired all with all: its contexts are grouped by each window of ``span`` characters around the
-phrase, so that only contexts that truly share one meet.
+phrase, so that only contexts that truly share one meet. What of a text is shared is told by the windows that more than one text holds, without any pair.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, parallelism, spread
@@ -26,6 +26,7 @@ from ..runtime import cut, parallelism, spread
 PHRASES_PER_SHARD = 4000
 TEXTS_PER_TASK = 4000
 FEW_CONTEXTS = 32
+PHRASE, TEXT = 0, 1  # kinds of rows that go to a shard; phrases come first
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,10 +100,10 @@ def _locate(span: int, phrase: int):
         key, automaton, ready = None, None, False
         for batch in batches:
             out = []
-            for shard, salt, doc, h, text in zip(batch["shard"], batch["salt"], batch["doc"], batch["hash"], batch["text"]):
+            for shard, salt, kind, doc, h, text in zip(batch["shard"], batch["salt"], batch["kind"], batch["doc"], batch["hash"], batch["text"]):
                 if (shard, salt) != key:
                     key, automaton, ready = (shard, salt), ahocorasick.Automaton(), False
-                if doc < 0:
+                if kind == PHRASE:
                     automaton.add_word(text, h)
                     continue
                 if not ready:
@@ -186,44 +187,44 @@ class SharedSpans:
             .mapInPandas(_phrases(phrase), "shard int, hash bigint, text string"))
         salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / TEXTS_PER_TASK).cast("int").alias("salts"))
         phrases = (phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-                                                       F.lit(-1).cast("bigint").alias("doc"), "hash", "text"))
+                                                       F.lit(PHRASE).alias("kind"), F.lit(0).cast("bigint").alias("doc"), "hash", "text"))
         streamed = (texts.select("doc", "text", F.explode("shards").alias("shard")).join(salts, "shard")
-                    .select("shard", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "doc",
+                    .select("shard", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(TEXT).alias("kind"), "doc",
                             F.lit(0).cast("bigint").alias("hash"), "text"))
         located = (phrases.unionByName(streamed).repartition(parallelism(spark), "shard", "salt")
-                   .sortWithinPartitions("shard", "salt", "doc")
+                   .sortWithinPartitions("shard", "salt", "kind")
                    .mapInPandas(_locate(span, phrase), "hash bigint, doc bigint, left string, right string, starts array<int>"))
-        context = F.xxhash64("hash", "left", F.lit("\u0000"), "right")
+        context = F.unhex(F.md5(F.concat_ws("|", "hash", F.length("left"), "left", "right")))
         located = cut(located.withColumn("context", context))
         self.places = located.select("context", "doc", "starts")
 
         contexts = cut(located.groupBy("context").agg(
             F.first("hash").alias("hash"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("docs"),
-            F.min("doc").alias("one")))
+            F.min("doc").alias("one"), F.max("doc").alias("last")))
         self.holders = contexts.select("context", "docs", "one")
         sizes = contexts.groupBy("hash").agg(F.count("*").alias("n"))
         few = contexts.join(sizes.where((F.col("n") > 1) & (F.col("n") <= FEW_CONTEXTS)), "hash", "left_semi")
         compared = (few.groupBy("hash").agg(F.collect_list(F.struct("context", "left", "right")).alias("contexts"))
-                    .mapInPandas(_pair(around), "x bigint, y bigint, before int, after int"))
+                    .mapInPandas(_pair(around), "x binary, y binary, before int, after int"))
         many = contexts.join(sizes.where(F.col("n") > FEW_CONTEXTS), "hash", "left_semi")
         low, high = F.greatest(F.lit(0), around - F.length("right")), F.least(F.lit(around), F.length("left"))
-        windows = (many.select("context", "hash", "left", "right", F.explode(F.sequence(low, high)).alias("before"))
-                   .select("context", "before", F.xxhash64(
-                       "hash", "before", F.expr("right(left, before)"),
-                       F.substring("right", F.lit(1), F.lit(around) - F.col("before"))).alias("window")))
-        windows = windows.join(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "window")
-        other = windows.select("window", F.col("context").alias("y"))
-        met = (windows.withColumnRenamed("context", "x").join(other, "window").where("x < y")
-               .select("x", "y", "before", (F.lit(around) - F.col("before")).alias("after")))
-        # what each context shares with others of its phrase; of each pair all that was seen
-        self.links = cut(compared.unionByName(met))
+        windows = (many.select("context", "one", "last", "hash", "left", "right", F.explode(F.sequence(low, high)).alias("before"))
+                   .select("context", "one", "last", "before", F.unhex(F.md5(F.concat_ws(
+                       "|", "hash", "before", F.expr("right(left, before)"),
+                       F.substring("right", F.lit(1), F.lit(around) - F.col("before"))))).alias("window")))
+        # windows in more than one text; those of one context alone need no pairs
+        shared = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("one").alias("one"), F.max("last").alias("last")).where("one <> last")
+        self.windows = cut(windows.select("context", "before", "window").join(shared.select("window", "n"), "window"))
+        self.compared = cut(compared)
         self.alone = contexts.where("docs > 1").select(
             F.col("context"), F.length("left").alias("before"), F.length("right").alias("after"))
 
     def head_pairs(self) -> DataFrame:
         """(a, b): pairs of classes, a < b, that share a span."""
         at = self.places.select("context", "doc")
-        linked = self.links.select("x", "y").distinct().unionByName(
+        met = self.windows.where("n > 1").select("window", F.col("context").alias("x"))
+        met = met.join(met.withColumnRenamed("x", "y"), "window").where("x < y")
+        linked = self.compared.select("x", "y").unionByName(met.select("x", "y")).distinct().unionByName(
             self.alone.select(F.col("context").alias("x"), F.col("context").alias("y")))
         return (linked.join(at.withColumnsRenamed({"context": "x", "doc": "a"}), "x")
                 .join(at.withColumnsRenamed({"context": "y", "doc": "b"}), "y").where("a <> b")
@@ -240,24 +241,31 @@ class SharedSpans:
     def coverage(self) -> DataFrame:
         """(doc_id, class_id, spans, shared_chars, share): per document its maximal shared spans (start, end) and their part of the text."""
         # a span that only the same document holds again isn't shared: whose the other context is goes along
-        sides = self.links.select(F.explode(F.array(F.struct(F.col("x").alias("context"), F.col("y").alias("other")),
-                                                    F.struct(F.col("y").alias("context"), F.col("x").alias("other")))).alias("s"), "before", "after")
+        sides = self.compared.select(F.explode(F.array(F.struct(F.col("x").alias("context"), F.col("y").alias("other")),
+                                                       F.struct(F.col("y").alias("context"), F.col("x").alias("other")))).alias("s"), "before", "after")
         others = self.holders.select(F.col("context").alias("other"), F.when(F.col("docs") == 1, F.col("one")).alias("only"))
         both = (sides.select("s.context", "s.other", "before", "after").join(others, "other").select("context", "before", "after", "only"))
-        reach = both.unionByName(self.alone.withColumn("only", F.lit(None).cast("bigint"))).distinct()
+        # neighbouring windows of a context are one stretch
+        row = F.row_number().over(Window.partitionBy("context").orderBy("before"))
+        stretches = (self.windows.select("context", "before", (F.col("before") - row).alias("run")).groupBy("context", "run")
+                     .agg(F.max("before").alias("before"), (F.lit(self.span - self.phrase) - F.min("before")).alias("after")))
+        nobody = F.lit(None).cast("bigint").alias("only")
+        reach = (both.distinct().unionByName(self.alone.select("context", "before", "after", nobody))
+                 .unionByName(stretches.select("context", "before", "after", nobody)))
         pieces = (self.places.join(reach, "context").where("only is null or only <> doc").select("doc", F.explode("starts").alias("s"), "before", "after")
-                  .select("doc", F.struct((F.col("s") - F.col("before")).alias("start"),
-                                          (F.col("s") + self.phrase + F.col("after")).alias("end")).alias("piece")).distinct())
-        ordered = pieces.groupBy("doc").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+                  .select("doc", (F.col("s") - F.col("before")).alias("start"), (F.col("s") + self.phrase + F.col("after")).alias("end"))
+                  .groupBy("doc", "start").agg(F.max("end").alias("end")))
+        # pieces that touch are one span: a span begins where no piece before reaches
+        order = Window.partitionBy("doc").orderBy("start")
+        reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opened = pieces.withColumn("opens", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+        spans = (opened.withColumn("k", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+                 .groupBy("doc", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+        ordered = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("merged"))
         empty = F.array().cast("array<struct<start:int,end:int>>")
-        merged = F.aggregate("pieces", empty, lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= p["start"]),
-            F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(
-                F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], p["end"]).alias("end"))))
-            .otherwise(F.array_append(acc, p)))
         whole = F.array(F.struct(F.lit(0).alias("start"), F.col("chars").alias("end")))
         spans = F.when(F.col("members") > 1, whole).otherwise(F.coalesce("merged", empty))
         total = F.aggregate("spans", F.lit(0), lambda a, p: a + p["end"] - p["start"])
-        return (self.members.join(ordered.select("doc", merged.alias("merged")), "doc", "left")
+        return (self.members.join(ordered, "doc", "left")
                 .select(F.col("id").alias("doc_id"), F.col("doc").alias("class_id"), spans.alias("spans"), "chars").where(F.size("spans") > 0)
-                .select("doc_id", "class_id", "spans", total.alias("shared_chars"), F.round(total / F.col("chars"), 6).alias("share")))
+                .select("doc_id", "class_id", "spans", total.cast("bigint").alias("shared_chars"), F.round(total / F.col("chars"), 6).alias("share")))

@@ -2,10 +2,10 @@
 
 Method: every position of a text has a boundary strength (legal heading, page tag, paragraph, line, sentence, clause, word, none). A sparse
 table over the strengths answers range-maximum queries in constant time; each piece ends at the strongest boundary in its permissible
-window (from ``min_piece`` to ``max_chars`` characters after its start), ties to the right, and the next piece begins up to ``overlap``
-characters before that, at the strongest boundary there, ties to the left. Pieces are exact slices: joined without the
-overlaps they give the text again. Strengths are computed over windows of ``BLOCK`` characters, so a text of any length needs bounded memory
-beyond itself.
+window (from ``min_piece`` to ``max_chars`` characters after its start), ties to the right. The next piece steps back by ``overlap``
+characters from there, and on to the first boundary of a word or more; where none is ahead of the cut it begins inside a word. Pieces are exact
+slices: joined without the overlaps they give the text again. Strengths are computed over windows of ``BLOCK`` characters, so a text of any
+length needs bounded memory beyond itself.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ LEGAL, PAGE, PARAGRAPH, LINE, SENTENCE, CLAUSE, PHRASE, WORD = 9, 8, 7, 6, 5, 4,
 BOUNDARIES = (
     (WORD, re.compile(r"\s+(?=\S)")),
     (PHRASE, re.compile(r"[,:]\s+(?=\S)")),
-    (CLAUSE, re.compile(r";\s+(?=\S)| \| ")),
+    (CLAUSE, re.compile(r";\s+(?=\S)|(?<= \| )")),
     (SENTENCE, re.compile(r"[.!?।][\"'”’)\]]*\s+(?=\S)")),
     (LINE, re.compile(r"\n[^\S\n]*(?=\S)")),
     (PARAGRAPH, re.compile(r"\n\s*\n\s*(?=\S)")),
@@ -48,38 +48,24 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMaximum:
-    """Sparse table of argmax positions; ``levels`` suffice for windows up to ``width``."""
+    """Sparse table of argmax positions for windows up to ``width``."""
 
     def __init__(self, values: np.ndarray, width: int):
         # the key orders by strength, then by position, so one maximum settles ties to the right
-        n = len(values)
-        self.right = self._table(values.astype(np.int64) * (n + 1) + np.arange(n), width)
-        self.left = self._table(values.astype(np.int64) * (n + 1) + np.arange(n)[::-1], width)
-        self.n = n
-
-    @staticmethod
-    def _table(keys: np.ndarray, width: int) -> list[np.ndarray]:
-        table, step = [keys], 1
-        while 2 * step <= min(width, len(keys)):
-            last = table[-1]
-            table.append(np.maximum(last[:-step], last[step:]))
+        self.n = n = len(values)
+        self.table, step = [values.astype(np.int64) * (n + 1) + np.arange(n)], 1
+        while 2 * step <= min(width, n):
+            last = self.table[-1]
+            self.table.append(np.maximum(last[:-step], last[step:]))
             step *= 2
-        return table
-
-    def _query(self, table: list[np.ndarray], lo: int, hi: int) -> int:
-        level = (hi - lo + 1).bit_length() - 1
-        row = table[level]
-        return int(max(row[lo], row[hi + 1 - (1 << level)]))
 
     def rightmost(self, lo: int, hi: int) -> tuple[int, int]:
         """(position, strength) of the rightmost strongest in lo..hi."""
-        strength, position = divmod(self._query(self.right, lo, hi), self.n + 1)
+        level = (hi - lo + 1).bit_length() - 1
+        row = self.table[level]
+        strength, position = divmod(int(max(row[lo], row[hi + 1 - (1 << level)])), self.n + 1)
         return position, strength
 
-    def leftmost(self, lo: int, hi: int) -> tuple[int, int]:
-        strength, back = divmod(self._query(self.left, lo, hi), self.n + 1)
-        return self.n - 1 - back, strength
-
 
 def pieces(text: str, max_chars: int = 800, overlap: int = 120, min_piece: int | None = None) -> list[tuple[int, int]]:
     """(start, end) of each piece. The empty text has none; a text within the limit is one piece."""
@@ -87,7 +73,7 @@ def pieces(text: str, max_chars: int = 800, overlap: int = 120, min_piece: int |
     if not 0 <= overlap < least <= max_chars:
         raise ValueError("need 0 <= overlap < min_piece <= max_chars")
     out: list[tuple[int, int]] = []
-    start, n, base, table = 0, len(text), 0, None
+    start, n, base, table, natural = 0, len(text), 0, None, None
     margin = max(1 << 10, 2 * max_chars)
     while start < n:
         if n - start <= max_chars:
@@ -98,16 +84,15 @@ def pieces(text: str, max_chars: int = 800, overlap: int = 120, min_piece: int |
             # some characters of context on the left keep boundary patterns whole
             before = min(base, 256)
             s = strengths(text[base - before:base + max(BLOCK, 4 * margin)])[before:]
-            table = RangeMaximum(s, max_chars)
-        end = base + table.rightmost(start + least - base, start + max_chars - base)[0]
-        if table.rightmost(start + least - base, start + max_chars - base)[1] == 0:
-            end = start + max_chars
+            table, natural = RangeMaximum(s, max_chars), np.flatnonzero(s >= WORD)
+        position, strength = table.rightmost(start + least - base, start + max_chars - base)
+        end = base + position if strength else start + max_chars
         out.append((start, end))
+        start = end - overlap
         if overlap:
-            position, strength = table.leftmost(end - overlap - base, end - base)
-            start = base + position if strength else end - overlap
-        else:
-            start = end
+            k = np.searchsorted(natural, start - base)
+            if k < len(natural) and natural[k] < end - base:
+                start = base + int(natural[k])
     return out
 
 

@@ -35,6 +35,20 @@ def test_cells_of_one_row(spark):
     assert pairs(spark, [a, b, other_row]) == {(1, 2)}
 
 
+def test_labelled_lines_inside_the_text_keep_their_order(spark):
+    a = "An order was made.\nPort: Kandla\nDuty: five\nIt holds."
+    b = "An order was made.\nDuty: five\nPort: Kandla\nIt holds."
+    titled = "An order on mats\nPort: Kandla\nDuty: five\nIt holds."
+    titled_moved = "An order on mats\nDuty: five\nPort: Kandla\nIt holds."
+    assert pairs(spark, [a, b, titled, titled_moved]) == {(3, 4)}
+
+
+def test_long_labels(spark):
+    label = "The number under which the goods were first entered"
+    a, b = f"{label}: 12\nPort: Kandla\nBody", f"Port: Kandla\n{label}: 12\nBody"
+    assert len(label) > 45 and pairs(spark, [a, b]) == {(1, 2)}
+
+
 def test_nulls_empty_repeats_and_clashes(spark):
     rows = [(1, None, 0, ""), (2, None, 0, ""), (3, "", 0, ""), (4, " .,\n", 0, ""), (None, "a", 0, ""), (5, "a", 0, ""), (5, "a", 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)

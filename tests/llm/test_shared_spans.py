@@ -62,6 +62,15 @@ def test_monotone_text_and_edges(spark):
     assert {r["doc_id"]: r["shared_chars"] for r in spans.coverage().collect()} == {1: 3000, 2: 500, 6: 40, 7: 40}
 
 
+def test_any_id(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(i, x + "a" * 420, "", "", "") for i, x in ((-5, "b"), (7, "c"), (low, "d"), (high, "e"), (-1, "f"), (0, "g"))]
+    spans = ss.SharedSpans(spark.createDataFrame(rows, SCHEMA))
+    ids = sorted(r[0] for r in rows)
+    assert {tuple(r) for r in spans.pairs().collect()} == {(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]}
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.coverage().collect()} == dict.fromkeys(ids, 420)
+
+
 def test_empty(spark):
     spans = ss.SharedSpans(spark.createDataFrame([], SCHEMA))
     assert spans.pairs().count() == 0 and spans.coverage().count() == 0
