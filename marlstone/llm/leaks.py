@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -147,7 +148,7 @@ class Index:
 _cache: dict[object, Index] = {}
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, width: int = 64, block_bytes: int = 64 << 20,
+def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, width: int = 64, block_bytes: int = 4 << 20,
                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, passage_share, question_share): documents with at least ``run`` consecutive words of an item's passage; the share of the passage's
     words in such runs, and of the question's distinct words that occur in the document. Null texts, null or short
@@ -162,7 +163,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, width: int = 64
     def block(b: int) -> DataFrame:
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.distinct().collect()])
-        token = f"{spark.sparkContext.applicationId}/{id(shared)}/{b}"
+        token = uuid.uuid4().hex
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if token not in _cache:

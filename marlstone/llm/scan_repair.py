@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,10 +56,10 @@ for _true, _seen in CONFUSIONS.items():
 ERROR, OTHER_ERROR = math.log(0.004), math.log(0.0002)
 UNKNOWN, UNKNOWN_NAME = math.log(1e-8), math.log(2e-5)
 PAIR_WEIGHT = 0.9
-COMMON = 0.02  # share of the most frequent word's documents from which a word is common
 START = "<"
 
 
+@lru_cache(1 << 16)
 def core(token: str) -> tuple[str, str, str]:
     """(before, core, after): a token without punctuation around it; marks that may be misread letters stay."""
     a, b = 0, len(token)
@@ -67,6 +70,7 @@ def core(token: str) -> tuple[str, str, str]:
     return token[:a], token[a:b], token[b:]
 
 
+@lru_cache(1 << 16)
 def shape(word: str) -> str:
     """Lower case, each run of digits as one #."""
     return re.sub(r"\d+", "#", word.lower())
@@ -130,16 +134,22 @@ def _plain(line: str) -> str:
     return " ".join(words)
 
 
+@lru_cache(1 << 14)
+def _bigrams(text: str) -> frozenset[str]:
+    return frozenset(map("".join, zip(text, text[1:])))
+
+
 def _alike(a: str, b: str) -> bool:
     """Equal but for a few misread characters."""
     if a == b:
         return True
     if not a or not b or abs(len(a) - len(b)) > 3:
         return False
-    from difflib import SequenceMatcher
-
+    # a character that finds no partner takes two bigrams with it at most
+    if len(_bigrams(a) - _bigrams(b)) > 0.16 * (len(a) + len(b)):
+        return False
     m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() > 0.9 and m.quick_ratio() > 0.9 and m.ratio() > 0.92
+    return m.quick_ratio() > 0.9 and m.ratio() > 0.92
 
 
 def furniture(lines: list[str]) -> set[int]:
@@ -232,7 +242,6 @@ class Lexicon:
         self.after: Counter = Counter()
         for (a, _), n in pairs.items():
             self.after[a] += n
-        self.most = max(words.values(), default=0)
         self.longest = max((len(w) for w in words if len(w) <= WORD_LIMIT), default=0)
         self.blanked: dict[str, list[str]] | None = None
         self.known: dict[tuple[str, bool], list[tuple[str, float, tuple[int, ...]]]] = {}
@@ -246,7 +255,7 @@ class Lexicon:
         if len(seen) > 2 * self.longest:  # no confusion makes it so much longer than any word
             return []
         level = {seen: ()}
-        # an unknown name is most likely a name: one confusion must do
+        # an unknown name is most likely a name, which its prior says: one confusion must do
         for depth in (1, 2) if deep else (1,):
             after: dict[str, tuple[int, ...]] = {}
             for text, places in level.items():
@@ -263,7 +272,7 @@ class Lexicon:
                     found[new] = (depth * ERROR, places)
             if found:
                 break
-            level = after if len(after) < 4000 else {}
+            level = after
         if deep and not found and len(seen) >= 5 and seen.isascii() and seen.isalpha():
             if self.blanked is None:
                 self.blanked = defaultdict(list)
@@ -305,8 +314,6 @@ class Lexicon:
             if s not in self.words or mixed:
                 for w, p, at in self.candidates(seen, deep):
                     ws = shape(w)
-                    if not deep and self.words[ws] < COMMON * self.most:
-                        continue  # an unknown name isn't another, rare name misread
                     row.append((ws, w, self.word(ws) + p, at))
                     doubt = True
             options.append(row)
@@ -464,7 +471,12 @@ class ScanRepair:
 
     def __init__(self, docs: DataFrame, least_share: float = 0.0005, least_docs: int = 3):
         spark = docs.sparkSession
-        self.rows = spread(docs.where("parsed_id is not null and raw_text is not null").select("parsed_id", "filename", "raw_text"))
+        rows = docs.where("parsed_id is not null and raw_text is not null").select("parsed_id", "filename", "raw_text")
+        # a document delivered more than once counts once; the texts of the others don't move for that
+        again = cut(rows.groupBy("parsed_id").count().where("count > 1").select("parsed_id"))
+        if not again.isEmpty():
+            rows = rows.join(again, "parsed_id", "left_anti").unionByName(rows.join(again, "parsed_id", "left_semi").dropDuplicates(["parsed_id"]))
+        self.rows = spread(rows)
         counts = cut(self.rows.mapInPandas(_counts, "scanned boolean, a string, b string, n bigint")
                      .groupBy("scanned", "a", "b").agg(F.sum("n").alias("n")))
         size = {r["scanned"]: r["n"] for r in counts.where("a = '' and b = ''").collect()}  # two rows at most
@@ -473,7 +485,7 @@ class ScanRepair:
         kept = counts.where((F.col("scanned") == clean) & (F.col("n") >= least) & (F.col("a") != "")).select("a", "b", "n").collect()
         self.lexicon = spark.sparkContext.broadcast(
             ({r["a"]: r["n"] for r in kept if not r["b"]}, {(r["a"], r["b"]): r["n"] for r in kept if r["b"]}))
-        self.token = f"{spark.sparkContext.applicationId}/{id(self.lexicon)}"
+        self.token = uuid.uuid4().hex
 
     def _apply(self, take, schema: str) -> DataFrame:
         shared, token = self.lexicon, self.token
@@ -492,11 +504,11 @@ class ScanRepair:
         return self.rows.mapInPandas(run, schema)
 
     def damages(self) -> DataFrame:
-        """(parsed_id, line_no, damage) of scanned texts. Null texts are left out; rows delivered twice give the same damages once."""
+        """(parsed_id, line_no, damage) of scanned texts. Null texts are left out; a document delivered twice counts once."""
         return self._apply(lambda i, _, page: [(i, n, d) for n, d in page.damages()] if page else [],
-                           "parsed_id bigint,line_no int,damage string").distinct()
+                           "parsed_id bigint,line_no int,damage string")
 
     def repaired(self) -> DataFrame:
         """(parsed_id, scanned, clean_text): scanned texts as continuous paragraphs, others as they were."""
         return self._apply(lambda i, text, page: [(i, page is not None, page.text() if page else text)],
-                           "parsed_id bigint,scanned boolean,clean_text string").dropDuplicates(["parsed_id"])
+                           "parsed_id bigint,scanned boolean,clean_text string")
