@@ -154,7 +154,10 @@ def answer_confidence(evidence: Column, support: Column, retrieval: Column, chun
     return F.round(clamp(F.round(total, 9)), 3)
 
 
-PROMPT = "Answer from the sources below and name them.\n\nQuestion: {query}\n\nSources:\n{sources}\n\nContext:\n{context}"
+PROMPT = (
+    "Answer from the sources below and name them; say so where they don't hold the answer.\n\nQuestion: {query}\n\nSources:\n{sources}\n\nContext:\n{context}\n\n"
+    "Reply with one JSON object and nothing else. Its keys: short_answer, classification (null if none), reasoning, alternate_views (null if none), "
+    "risk_flags (a list), confidence_note.")
 
 
 def prompt(query: Column, sources: Column, text: Column) -> Column:

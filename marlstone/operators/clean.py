@@ -72,7 +72,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, fix_page_numbers: bool = False) -> DataFrame:
-    """(id, text): pages written again as ``[PAGE k]`` and their lines, without a blank line between pages. The piece before the first tag counts as
+    """(id, text) of ``repeated_lines_out``."""
+    return docs.select(id_col, repeated_lines_out(F.col(text_col), fix_page_numbers).alias("text"))
+
+
+def repeated_lines_out(c: Column, fix_page_numbers: bool = False) -> Column:
+    """The text's pages written again as ``[PAGE k]`` and their lines, without a blank line between pages. The piece before the first tag counts as
     a page unless ``fix_page_numbers``, which keeps the numbers of the tags and gives that piece no tag."""
 
     def tag(k: Column, known: Column) -> Column:
@@ -86,7 +91,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, fix_page
         return let(_pieces(text), lambda ps: let(gone(ps), lambda out: let(numbers, lambda known: F.array_join(F.flatten(F.transform(
             ps, lambda p, k: F.concat(tag(k, known), F.filter(p, lambda x: ~F.array_contains(out, x))))), "\n"))))
 
-    return docs.select(id_col, let(F.col(text_col), rewrite).alias("text"))
+    return let(c, rewrite)
 
 
 def quality(c: Column) -> dict[str, Column]:

@@ -49,15 +49,18 @@ def signals(rows: DataFrame, settings: Settings = SETTINGS, query_col: str = "qu
 
 
 def with_empty(queries: DataFrame, scored: DataFrame, query_col: str = "query_id") -> DataFrame:
-    """A query without retrieved rows stays, with a score of 0."""
-    return queries.select(query_col).join(scored, query_col, "left").fillna(0, ["n_chunks", "strong_chunks"]).fillna(0.0, ["confidence_score"])
+    """A query without retrieved rows stays, with signals and a score of 0."""
+    zero = ["retrieval_quality", "source_authority", "source_agreement", "coverage_bonus", "confidence_score"]
+    return (queries.select(query_col).join(scored, query_col, "left").fillna(0, ["n_chunks", "strong_chunks"])
+            .fillna(0.0, [c for c in zero if c in scored.columns]))
 
 
 def review_reason(score: Column, top: Column, strong: Column, query: Column, settings: Settings = SETTINGS) -> Column:
     """Why a result should be looked at, NULL if it needn't; the first rule that holds. Numbers are shown to 2 places, halves up."""
     # fixed values: the wording of the reasons
     shown = lambda c: F.round(c.cast("decimal(6,3)"), 2).cast("string")
-    return (F.when(score < settings.threshold, F.concat(F.lit("Confidence score "), shown(score), F.lit(f" is below threshold {settings.threshold:.2f}")))
+    return (F.when(top.isNull(), F.lit("No chunks retrieved — query may be out of scope"))
+            .when(score < settings.threshold, F.concat(F.lit("Confidence score "), shown(score), F.lit(f" is below threshold {settings.threshold:.2f}")))
             .when(top < settings.weak, F.concat(F.lit("Best retrieved chunk has low similarity ("), shown(top), F.lit(") — query may be out of scope")))
             .when(strong == 0, F.lit("No strongly matching chunks found — answer may be incomplete"))
             .when((F.trim(query) != "") & (F.size(F.split(F.trim(query), r"\s+")) < 4), F.lit("Query is very short — may be ambiguous or under-specified")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from . import clean, extract
+from ..runtime import cut, parallelism
+from . import chunk, clean, extract
 
 
 def new_documents(docs: DataFrame, recorded: DataFrame, id_col: str, hash_col: str = "document_hash") -> DataFrame:
@@ -18,23 +22,47 @@ def new_documents(docs: DataFrame, recorded: DataFrame, id_col: str, hash_col: s
 
 
 def prepared(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """Cleaned text, its fields and its hash."""
-    cleaned = docs.withColumn(text_col, clean.clean(F.col(text_col)))
+    """Cleaned text without the lines repeated over its pages, its fields and its hash. All of it is worked out inside the row."""
+    cleaned = docs.withColumn(text_col, clean.repeated_lines_out(clean.clean(F.col(text_col))))
     return extract.enrich(cleaned, text_col).withColumn("document_hash", clean.fingerprint(F.col(text_col)))
 
 
-def status_rows(docs: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
-    """(id, status, chunk_count, error): a document without chunks failed."""
+@dataclass(frozen=True)
+class Ingestion:
+    """What one batch of documents gives."""
+
+    documents: DataFrame  # the new ones: cleaned, enriched, with their hash
+    chunks: DataFrame  # theirs, with embeddings
+    status: DataFrame  # (id, status, chunk_count, error): one row per document of the batch
+
+
+def run(docs: DataFrame, recorded: DataFrame, id_col: str, embed: Callable[[DataFrame], DataFrame], text_col: str = "raw_text", error_col: str | None = None) -> Ingestion:
+    """Clean, enrich, skip duplicates, chunk, embed. recorded(document_hash) are contents ingested before, by the hash of the cleaned text.
+
+    A document without text failed, with the message in ``error_col`` if there is one. A content that is recorded, or that a smaller id of the batch has,
+    is complete as "Duplicate document", without chunks. Documents are told apart by id, so that a file that is read again is one document."""
+    message = F.coalesce(F.col(error_col), F.lit("No text")) if error_col else F.lit("No text")
+    failed = docs.where(F.col(text_col).isNull()).select(id_col, F.lit("failed").alias("status"), F.lit(0).alias("chunk_count"), message.alias("error"))
+    ready = cut(prepared(docs.where(F.col(text_col).isNotNull()), text_col))
+    new = cut(new_documents(ready, recorded, id_col))
+    chunks = cut(embed(chunk.chunk_documents(new, id_col, text_col)))
     counts = chunks.groupBy(id_col).agg(F.count("*").cast("int").alias("chunk_count"))
-    return docs.select(id_col).join(counts, id_col, "left").select(
-        id_col, F.when(F.col("chunk_count") > 0, "completed").otherwise("failed").alias("status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
-        F.when(F.coalesce("chunk_count", F.lit(0)) == 0, "No chunks").alias("error"))
+    known = new.select(id_col, F.lit(True).alias("_new"))
+    done = ready.select(id_col).join(known, id_col, "left").join(counts, id_col, "left").select(
+        id_col, F.lit("completed").alias("status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
+        F.when(F.col("_new").isNull(), "Duplicate document").alias("error"))
+    return Ingestion(new, chunks, done.unionByName(failed))
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int = SETTINGS.embed_batch) -> DataFrame:
-    """Adds batch: every ``size`` rows of a group in order."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("batch", F.ceil(F.row_number().over(w) / size).cast("int"))
+    """Adds batch: every ``size`` rows of a group in order. Rows are numbered within ranges of (group, order), and ranges of a group follow one another, so
+    that a group of any size is spread over many tasks."""
+    placed = cut(rows.repartitionByRange(parallelism(rows.sparkSession), group, order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.join(sizes.select("_group", "_of", before.alias("_before")), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) + F.col("_before")
+    return joined.withColumn("batch", F.ceil(place / size).cast("int")).select(*rows.columns, "batch")
 
 
 def totals(attempts: DataFrame) -> DataFrame:

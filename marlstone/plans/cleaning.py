@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 from ..functions import text as T
 from ..operators import chunk, clean, extract
+from ..operators.advise import UNSAFE
 from ..runtime import table
 from .common import SP, W, found, strip, sub
 
@@ -118,10 +119,6 @@ def prefix_query(spark: SparkSession, root: str) -> DataFrame:
                        T.prefix_query(F.col("question"), "all-minilm").alias("plain"))
 
 
-# fixed values: phrases of unsafe queries
-UNSAFE = ["ignore previous", "system prompt", "forget instructions", "override"]
-
-
 def unsafe_query(spark: SparkSession, root: str) -> DataFrame:
     """The advisories' queries, and each with an unsafe phrase before it."""
     rows = table(spark, root, "advisories").select("session_id", "query").distinct()
@@ -158,10 +155,10 @@ NOTES = ((rf"(?im)^\p{{Nd}}+\.{SP}+(Subs\.|Ins\.|Omitted|Inserted|Added|Renumber
 LATE = ((rf"\n{SP}*\n{SP}*\n+", "chr(10) || chr(10)"), (r"[ \t]+", "' '"))
 
 
-def _joined(text: str) -> str:
+def _joined(text: str, table_: str = "parsed_documents") -> str:
     """Without lookaround: a line is joined to the one before unless one of both is empty, it begins with [PAGE, or it has a bar."""
     return f"""l as (select parsed_id, unnest(generate_series(1, len(x))) n, unnest(x) line from (
-        select parsed_id, string_split({text}, chr(10)) x from parsed_documents)),
+        select parsed_id, string_split({text}, chr(10)) x from {table_})),
     j as (select *, lag(line) over (partition by parsed_id order by n) before from l),
     s as (select parsed_id, n, case when n = 1 then '' when before = '' or line = '' or starts_with(line, '[PAGE') or contains(line, '|')
         then chr(10) else ' ' end || line piece from j),
@@ -169,12 +166,20 @@ def _joined(text: str) -> str:
 
 
 LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-LINES_SQL = f"""lines as (select parsed_id, pages, page, unnest(generate_series(1, len(l))) line_no, unnest(l) raw from (
+
+
+def _lines_sql(text: str = "raw_text", table_: str = "parsed_documents") -> str:
+    return f"""lines as (select parsed_id, pages, page, unnest(generate_series(1, len(l))) line_no, unnest(l) raw from (
         select parsed_id, len(p) pages, unnest(generate_series(1, len(p))) page, string_split_regex(unnest(p), '{LINE_END}') l from (
-            select parsed_id, string_split_regex(raw_text, '\\[PAGE{SP}+\\p{{Nd}}+\\]') p from parsed_documents))),
+            select parsed_id, string_split_regex({text}, '\\[PAGE{SP}+\\p{{Nd}}+\\]') p from {table_}))),
     stripped as (select parsed_id, pages, page, line_no, {strip("raw")} line from lines),
     repeated as (select parsed_id, line, count(distinct page) on_pages from stripped where length(line) between 6 and 79
-        group by parsed_id, line having count(distinct page) >= greatest(3, least(floor(any_value(pages) * 0.4::double)::int, 15)))"""
+        group by parsed_id, line having count(distinct page) >= greatest(3, least(floor(any_value(pages) * 0.4::double)::int, 15))),
+    kept as (select s.*, r.line is null and s.line <> '' keep from stripped s left join repeated r on s.parsed_id = r.parsed_id and s.line = r.line),
+    pages as (select parsed_id, page, '[PAGE ' || page || ']' || coalesce(chr(10) || string_agg(line, chr(10) order by line_no) filter (keep), '') page_text from kept group by parsed_id, page),
+    rewritten as (select parsed_id, string_agg(page_text, chr(10) order by page) as text from pages group by parsed_id)"""
+
+
 BOUNDARY_SQL = (rf"(?i)(\n(?:\p{{Nd}}+[A-Z]?\.|Section{SP}+\p{{Nd}}+[A-Z]?|CHAPTER{SP}+[IVXLC]+|PART{SP}+[IVXLC]+|Rule{SP}+\p{{Nd}}+"
                 rf"|Explanation\.|Provided{SP}+that|Provided{SP}+further|Illustration))")
 # word boundaries of Unicode words, without lookaround: the characters on either side are read as well
@@ -190,6 +195,10 @@ CHUNK_FIELDS = {
     "hs_code": rf"(?:^|[^{W}])(\p{{Nd}}{{4}}\.\p{{Nd}}{{2}}(?:\.\p{{Nd}}{{2}})?)(?:$|[^{W}])", "page_number": r"\[PAGE (\p{Nd}+)\]",
 }
 
+# cleaned texts without their repeated lines: prepared(parsed_id, text)
+PREPARED = f"""{_joined(_steps('raw_text', *EARLY))}, cl as (select parsed_id, {_chain('joined', *NOTES, *LATE)} clean_text from jo),
+    {_lines_sql('clean_text', 'cl')}, prepared as (select parsed_id, text from rewritten)"""
+
 SQL = {
     "clean_steps": f"select parsed_id, {_chain('raw_text', *EARLY, *LATE)} clean_text from parsed_documents",
     "clean_full": f"with {_joined(_steps('raw_text', *EARLY))} select parsed_id, {_chain('joined', *NOTES, *LATE)} clean_text from jo",
@@ -198,11 +207,8 @@ SQL = {
     "strip_tags": "select parsed_id, " + _chain(
         "raw_text", (r"\[PAGE \p{Nd}+\]", "''"), (r"\[SHEET:[^\]]+\]", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (r"[ \t]{2,}", "' '"))
         + " clean_text from parsed_documents",
-    "repeated_lines": f"with {LINES_SQL} select parsed_id, line, on_pages from repeated",
-    "strip_repeated": f"""with {LINES_SQL},
-        kept as (select s.*, r.line is null and s.line <> '' keep from stripped s left join repeated r on s.parsed_id = r.parsed_id and s.line = r.line),
-        pages as (select parsed_id, page, '[PAGE ' || page || ']' || coalesce(chr(10) || string_agg(line, chr(10) order by line_no) filter (keep), '') page_text from kept group by parsed_id, page)
-        select parsed_id, string_agg(page_text, chr(10) order by page) as text from pages group by parsed_id""",
+    "repeated_lines": f"with {_lines_sql()} select parsed_id, line, on_pages from repeated",
+    "strip_repeated": f"with {_lines_sql()} select parsed_id, text from rewritten",
     "extract_doc_meta": "select parsed_id, " + ", ".join(f"{found('raw_text', p)} {k}" for k, p in DOC_FIELDS.items()) + " from parsed_documents",
     "extract_chunk_meta": "select chunk_id, " + ", ".join(f"{found('text', p)}{'::int' if k == 'page_number' else ''} {k}" for k, p in CHUNK_FIELDS.items())
         + " from (select distinct chunk_id, text from chunks)",

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..operators import answer, chunk, clean, index, ingest, layout
+from ..operators import answer, index, ingest, layout
+from ..plugins import hash_embedding
 from ..runtime import cut, table
-from .common import SP, strip, tokens
+from .cleaning import DOC_FIELDS, PREPARED, _chain
+from .common import found, strip, tokens
+from .retrieval import INDEX
 
 
 def dedup_ingest(spark: SparkSession, root: str) -> DataFrame:
@@ -18,9 +21,24 @@ def dedup_ingest(spark: SparkSession, root: str) -> DataFrame:
     return ingest.new_documents(docs, done, "parsed_id")
 
 
+def _ingested(spark: SparkSession, root: str) -> ingest.Ingestion:
+    """All parsed documents as one batch over an empty record, with the stand-in embedding."""
+    none = spark.createDataFrame([], "document_hash string")
+    return ingest.run(table(spark, root, "parsed_documents"), none, "parsed_id", lambda chunks: chunks.withColumn("embedding", hash_embedding(F.col("text"))))
+
+
 def ingest_status(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "parsed_documents").select("parsed_id", "raw_text")
-    return ingest.status_rows(docs, chunk.raw_chunks(docs, "parsed_id", "raw_text"), "parsed_id")
+    """What became of each document, and what was found in the new ones."""
+    made = _ingested(spark, root)
+    fields = made.documents.select("parsed_id", "document_hash", "section", "chapter", "notification_number", "hs_code", "customs_section")
+    return made.status.select("parsed_id", "status", "error", (F.col("chunk_count") > 0).alias("chunked")).join(fields, "parsed_id", "left")
+
+
+def ingest_index(spark: SparkSession, root: str) -> DataFrame:
+    """Document frequencies of an index that was built from the documents of one half of the sources and appended to by those of the other."""
+    docs = table(spark, root, "documents").select("doc_id", "text", (F.coalesce("source", F.lit("")) < "m").alias("first"))
+    built = index.build(docs.where("first"), "doc_id", "text")
+    return index.append(built, docs, "doc_id", "text").terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def ingest_totals(spark: SparkSession, root: str) -> DataFrame:
@@ -136,16 +154,14 @@ def answer_confidence(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_end_to_end(spark: SparkSession, root: str) -> DataFrame:
-    """New documents cleaned, stripped of repeated lines, enriched and chunked."""
-    docs = table(spark, root, "parsed_documents")
-    new = cut(docs.join(dedup_ingest(spark, root).select("parsed_id"), "parsed_id", "left_semi"))
-    cleaned = new.select("parsed_id", clean.clean(F.col("raw_text")).alias("raw_text"))
-    pages = clean.without_repeated_lines(cleaned, "parsed_id", "raw_text")
-    return chunk.chunk_documents(pages, "parsed_id", "text")
+    """The chunks of the new documents, cleaned, with what was found in them and their embedding's first and last value."""
+    rows = _ingested(spark, root).chunks
+    return rows.select(*(c for c in rows.columns if c != "embedding"), F.round(F.element_at("embedding", 1), 6).alias("first"),
+                       F.round(F.element_at("embedding", -1), 6).alias("last"))
 
 
 QUERIES = {f.__name__: f for f in (
-    dedup_ingest, ingest_status, ingest_totals, records_desc, batch_assignment, sentinel_codec, sentinel_round_trip, table_block_antijoin, reading_order, render_rows,
+    dedup_ingest, ingest_status, ingest_index, ingest_totals, records_desc, batch_assignment, sentinel_codec, sentinel_round_trip, table_block_antijoin, reading_order, render_rows,
     build_context, source_list, prompts, parse_response, parse_sections, extract_claims, claim_support, answer_confidence, ingest_end_to_end)}
 
 ONE = "(select distinct on (session_id) * from advisories)"
@@ -158,15 +174,18 @@ REFS = f"""re as (select session_id query_id, rank, r.doc_id doc_id, r.source_na
         select query_id, doc_id, arg_max(source_name, rank) name, min(rank) first from re group by all) group by query_id)"""
 RESPONSES = f"""rs as (select session_id, coalesce(short_answer, '') a, coalesce(reasoning, '') r, classification c, length(query) % 4 kind from {ONE})"""
 CLAIMS = """list_filter(list_transform(string_split_regex(r, '[.!?\\n]'), lambda x: """ + strip("x") + """), lambda x: length(x) > 15)"""
-SUPPORT = f"""ad as (select session_id, coalesce(reasoning, '') r, confidence_score, list_transform(source_references, lambda x: x.chunk_text) texts from {ONE}),
-    cm as (select session_id, unnest({CLAIMS}) claim, texts from ad),
+SUPPORT_STEPS = f"""cm as (select session_id, unnest({CLAIMS}) claim, texts from ad),
     ct as (select session_id, claim, list_distinct({tokens('claim')}) t, texts from cm),
     tt as (select session_id, claim, t, unnest(texts) x from ct),
-    sc as (select session_id, claim, t, case when len(t) = 0 then 0 else round(len(list_intersect(t, list_distinct({tokens('x')}))) / len(t), 6) end s from tt),
-    bs as (select session_id, claim, max(s) best from sc group by all),
+    cs as (select session_id, claim, t, case when len(t) = 0 then 0 else round(len(list_intersect(t, list_distinct({tokens('x')}))) / len(t), 6) end s from tt),
+    bs as (select session_id, claim, max(s) best from cs group by all),
     cc as (select session_id, count(*) n, count(*) filter (coalesce(best, 0) >= 0.7) k from (select cm.session_id, cm.claim, best from cm left join bs using (session_id, claim)) group by 1),
     su as (select session_id, coalesce(n, 0) n_claims, coalesce(k, 0) supported, case when coalesce(n, 0) = 0 then 0.5 else round(k / n, 6) end support
-        from ad left join cc using (session_id))"""
+        from ad left join cc using (session_id)),
+    ev as (select ad.session_id, support, confidence_score, len(texts) n, list_distinct({tokens('r')}) t, list_distinct({tokens("array_to_string(texts, ' ')")}) x from ad join su using (session_id)),
+    co as (select session_id, round(greatest(0, least(1, round(0.4::double * case when len(t) = 0 then 0 else round(len(list_intersect(t, x)) / len(t), 6) end + 0.3::double * support
+        + 0.2::double * confidence_score + 0.1::double * least(n / 5, 1) - case when support > 0.8 then 0 else 0.2::double end, 9))), 3) answer_confidence from ev)"""
+SUPPORT = f"""ad as (select session_id, coalesce(reasoning, '') r, confidence_score, list_transform(source_references, lambda x: x.chunk_text) texts from {ONE}), {SUPPORT_STEPS}"""
 SQL = {
     "dedup_ingest": """select min(parsed_id) parsed_id, document_hash from parsed_documents where document_hash not in (
         select document_hash from ingest_log where status = 'completed' and document_hash is not null) group by document_hash""",
@@ -189,8 +208,9 @@ SQL = {
         array_to_string(list_filter([a, b, c], lambda x: x is not null), ' | ') not_null from c""",
     "build_context": f"with {REFS} select query_id, context from cx",
     "source_list": f"with {REFS} select query_id, source_list from sl",
-    "prompts": f"""with {REFS} select query_id, 'Answer from the sources below and name them.' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Sources:' || chr(10)
-        || source_list || chr(10) || chr(10) || 'Context:' || chr(10) || context prompt from cx join sl using (query_id)
+    "prompts": f"""with {REFS} select query_id, 'Answer from the sources below and name them; say so where they don''t hold the answer.' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Sources:' || chr(10)
+        || source_list || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Reply with one JSON object and nothing else. Its keys: short_answer, '
+        || 'classification (null if none), reasoning, alternate_views (null if none), risk_flags (a list), confidence_note.' prompt from cx join sl using (query_id)
         join (select distinct on (session_id) session_id query_id, query from advisories) using (query_id)""",
     "parse_response": f"""with {RESPONSES} select session_id, case kind when 2 then 'sections' when 3 then 'raw' else 'json' end layer,
         case kind when 2 then {strip('a')} when 3 then substring('> ' || a, 1, 500) else a end short_answer,
@@ -200,9 +220,12 @@ SQL = {
     "extract_claims": f"""with ad as (select session_id, coalesce(reasoning, '') r from {ONE}), c as (select session_id, {CLAIMS} c from ad)
         select session_id, (unnest(generate_series(1, len(c))) - 1)::int n, unnest(c) claim from c""",
     "claim_support": f"with {SUPPORT} select * from su",
-    "answer_confidence": f"""with {SUPPORT}, ev as (select ad.session_id, support, confidence_score, len(texts) n, list_distinct({tokens('r')}) t,
-            list_distinct({tokens("array_to_string(texts, ' ')")}) x from ad join su using (session_id)),
-        e as (select *, case when len(t) = 0 then 0 else round(len(list_intersect(t, x)) / len(t), 6) end evidence from ev)
-        select session_id, round(greatest(0, least(1, round(0.4::double * evidence + 0.3::double * support + 0.2::double * confidence_score + 0.1::double * least(n / 5, 1)
-            - case when support > 0.8 then 0 else 0.2::double end, 9))), 3) answer_confidence from e""",
+    "answer_confidence": f"with {SUPPORT} select * from co",
+    "ingest_status": f"""with {PREPARED}, h as (select parsed_id, sha256(text) document_hash, text, parsed_id = min(parsed_id) over (partition by text) is_new from prepared)
+        select d.parsed_id, case when d.raw_text is null then 'failed' else 'completed' end status,
+            case when d.raw_text is null then 'No text' when not is_new then 'Duplicate document' end error,
+            is_new is not null and is_new and length({_chain("text", (r"[[]PAGE [0-9]+[]]", "''"), (r"[[]SHEET:[^]]+[]]", "''"), (r"[ \t]{2,}", "' '"))}) >= 120 chunked,
+            case when is_new then h.document_hash end document_hash, {", ".join(f"case when is_new then {found('text', p)} end {k}" for k, p in DOC_FIELDS.items())}
+        from parsed_documents d left join h using (parsed_id)""",
+    "ingest_index": f"with {INDEX} select term, df, round(idf, 6) idf from te",
 }

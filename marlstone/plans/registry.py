@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, ingestion, retrieval
+from . import advisory, cleaning, ingestion, retrieval
 
-MODULES = (cleaning, retrieval, ingestion)
+MODULES = (cleaning, retrieval, ingestion, advisory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -66,6 +68,36 @@ def embed(df: DataFrame, text_col: str, factory: Callable[[], Embedder], batch:
     return df.withColumn(out, run(F.col(text_col))).withColumn(out, l2_normalize(F.col(out)).cast("array<float>"))
 
 
+def generate(df: DataFrame, prompt_col: str, factory: Callable[[], Generator], batch: int = 8, out: str = "response") -> DataFrame:
+    """Adds the model's response per row, in batches, the model made once per worker; a blank response is NULL."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for prompts in batches:
+            made: list[str] = []
+            for k in range(0, len(prompts), batch):
+                made += model.generate([p or "" for p in prompts.iloc[k:k + batch]])
+            yield pd.Series([r if r and r.strip() else None for r in made], index=prompts.index)
+
+    return df.withColumn(out, run(F.col(prompt_col)))
+
+
+class Echo:
+    """Stand-in generator: a JSON response that answers with the first line of the first source's text, at most 300 characters of it."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            source = re.search(r"\n\[SOURCE 1\] [^\n]*\n([^\n]*)", p)
+            text = source[1][:300] if source else ""
+            out.append(json.dumps({"short_answer": text, "classification": None, "reasoning": f"As source 1 says: {text}", "risk_flags": []}, ensure_ascii=False))
+        return out
+
+
+register("generator", "echo", Echo)
+
+
 def hash_embedding(c: Column, bits: int = 4) -> Column:
     """Stand-in embedding: token counts in 2**bits buckets by the first hex digit(s) of the token's md5, at unit length."""
     if bits not in (4, 8):
