@@ -34,7 +34,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, where: Column | None = None
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     parts = []
     for block in query_blocks(queries):
-        asked = F.broadcast(block.select("query_id", l2_normalize(F.col("q_vec")).alias("q_vec")))
+        asked = F.broadcast(block.where("q_vec is not null").select("query_id", l2_normalize(F.col("q_vec")).alias("q_vec")))
         scored = unit.crossJoin(asked).select("query_id", "id", F.round(1 - dot(F.col("q_vec"), F.col("vec")), 9).alias("distance"))
         parts.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     found = reduce(DataFrame.unionByName, parts)

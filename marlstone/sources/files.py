@@ -6,10 +6,11 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -25,7 +26,11 @@ def docx_text(content: bytes) -> tuple[str, int | None]:
     """Non-blank paragraphs, then the rows of all tables, a blank line between."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD_NS}body")
-    text = lambda node: "".join(t.text or "" for t in node.iter(f"{WORD_NS}t"))
+    # fixed values: what stands for text besides text
+    other = {f"{WORD_NS}tab": "\t", f"{WORD_NS}br": "\n", f"{WORD_NS}cr": "\n"}
+    # runs only: tabs in a paragraph's properties are tab stops
+    text = lambda node: "".join(
+        t.text or "" if t.tag == f"{WORD_NS}t" else other.get(t.tag, "") for run in node.iter(f"{WORD_NS}r") for t in run)
     parts = [text(p).strip() for p in body.findall(f"{WORD_NS}p")]
     for row in body.iterfind(f"{WORD_NS}tbl/{WORD_NS}tr"):
         cells = [" ".join(text(p) for p in c.findall(f"{WORD_NS}p")).strip() for c in row.findall(f"{WORD_NS}tc")]
@@ -33,6 +38,31 @@ def docx_text(content: bytes) -> tuple[str, int | None]:
     return "\n\n".join(p for p in parts if p), None
 
 
+# fixed values: numbers of built-in formats that show dates or times
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> list[bool]:
+    """Per cell style, whether it shows a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode") or "") for f in root.iter(f"{SHEET_NS}numFmt")}
+    styles = root.find(f"{SHEET_NS}cellXfs")
+    numbers = [int(x.get("numFmtId") or 0) for x in styles] if styles is not None else []
+    return [n in DATE_FORMATS or bool(re.search("[ymdhs]", own.get(n, ""), re.IGNORECASE)) for n in numbers]
+
+
+def _cell(kind: str | None, value: str, is_date: bool) -> str:
+    """A stored value as it is printed: booleans as True and False, serial numbers of dates as dates."""
+    if kind == "b":
+        return "True" if value == "1" else "False"
+    if is_date and kind in (None, "n"):
+        day = datetime(1899, 12, 30) + timedelta(seconds=round(float(value) * 86400))
+        return str(day.time()) if 0 <= float(value) < 1 else str(day)
+    return value
+
+
 def xlsx_text(content: bytes) -> tuple[str, int | None]:
     """Per sheet its name, then each row that has a value, with the row's number; stored values, not formulas."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -41,7 +71,7 @@ def xlsx_text(content: bytes) -> tuple[str, int | None]:
         if "xl/sharedStrings.xml" in names:
             strings = ["".join(t.text or "" for t in si.iter(f"{SHEET_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
+        out, dates = [], _date_styles(z)
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET_NS}sheet"):
             out.append(f"[SHEET: {sheet.get('name')}]")
             target = targets[sheet.get(f"{REL_NS}id")].lstrip("/")
@@ -53,7 +83,8 @@ def xlsx_text(content: bytes) -> tuple[str, int | None]:
                     if c.get("t") == "inlineStr" and inline is not None:
                         values.append("".join(t.text or "" for t in inline.iter(f"{SHEET_NS}t")))
                     elif v is not None and v.text is not None:
-                        values.append(strings[int(v.text)] if c.get("t") == "s" else v.text)
+                        style = int(c.get("s") or 0)
+                        values.append(strings[int(v.text)] if c.get("t") == "s" else _cell(c.get("t"), v.text, style < len(dates) and dates[style]))
                 if values:
                     out.append(f"[ROW {row.get('r') or n}] " + " | ".join(values))
         return "\n".join(out), None
@@ -107,6 +138,12 @@ def write_records(records: DataFrame, folder: str) -> None:
     records.write.mode("append").json(folder)
 
 
+def open_vectors(spark: SparkSession, folder: str, where: Column | None = None) -> DataFrame:
+    """The vector table; a condition on doc_type reads only the folders of the types that meet it."""
+    rows = spark.read.parquet(folder)
+    return rows if where is None else rows.where(where)
+
+
 def append_vectors(chunks: DataFrame, folder: str) -> None:
     """The vector table, a folder per doc_type, so that a filter on it prunes."""
     chunks.write.mode("append").partitionBy("doc_type").parquet(folder)

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import plugins
-from marlstone.operators import answer, ingest, layout
+from marlstone.operators import advise, answer, index, ingest, layout
 from marlstone.sources import files
-from marlstone.streaming.ingest import ingest_stream
+from marlstone.streaming.ingest import ingest_batch, ingest_stream
 
 
 def parsed(spark, *raws):
@@ -144,8 +144,66 @@ def test_stream_skips_known_contents(spark, tmp_path):
     (inbox / "b.docx").write_bytes(docx("The duty is owed. " * 20))
     (inbox / "c.docx").write_bytes(docx("Another text of mats. " * 20))
     ingest_stream(spark, *args).awaitTermination(120)
-    rows = spark.read.json(str(tmp_path / "log")).collect()
-    assert sorted(r["filename"] for r in rows) == ["a.docx", "c.docx"] and all(r["status"] == "completed" and r["chunk_count"] > 0 for r in rows)
+    (inbox / "d.docx").write_bytes(b"broken")
+    ingest_stream(spark, *args).awaitTermination(120)
+    rows = {r["filename"]: r for r in spark.read.json(str(tmp_path / "log")).collect()}
+    assert {k: (r["status"], r["chunk_count"] > 0) for k, r in rows.items()} == {
+        "a.docx": ("completed", True), "b.docx": ("completed", False), "c.docx": ("completed", True), "d.docx": ("failed", False)}
+    assert rows["b.docx"]["error"] == "Duplicate document" and "BadZipFile" in rows["d.docx"]["error"]
+
+
+def test_a_batch_again_changes_nothing(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(docx("The duty is owed. " * 20))
+    (tmp_path / "b.docx").write_bytes(docx("The duty is owed. " * 20))
+    parsed = files.parse_files(files.read_files(spark, str(tmp_path / "*.docx")))
+    chunks, log = str(tmp_path / "chunks"), str(tmp_path / "log")
+    seen = []
+    for batch in (0, 0, 1, 0):
+        ingest_batch(parsed, batch, chunks, log)
+        rows = spark.read.json(log).collect()
+        seen.append((spark.read.parquet(chunks).count(), sorted((r["batch"], r["filename"], r["status"], r["error"], r["chunk_count"]) for r in rows if r["batch"] == 0)
+                     if all(r["error"] for r in rows) else len(rows)))
+    assert seen[0][0] > 0 and len({s[0] for s in seen[:3]}) == 1 and [s[1] for s in seen] == [2, 2, 4, 4]
+
+
+def test_vectors_by_type(spark, tmp_path):
+    df = spark.createDataFrame([("a", "Act", [1.0]), ("b", "Rule", [2.0])], "chunk_id string, doc_type string, embedding array<float>")
+    files.append_vectors(df, str(tmp_path / "v"))
+    files.append_vectors(df.where("chunk_id = 'a'"), str(tmp_path / "v"))
+    got = files.open_vectors(spark, str(tmp_path / "v"), F.col("doc_type") == "Act")
+    assert got.count() == 2 and "PartitionFilters: [isnotnull(doc_type" in got._jdf.queryExecution().toString()
+
+
+def test_advice(spark):
+    rows = [(1, "the duty on jute mats is five percent", "A", "Circular"), (2, "cotton yarn needs a permit", "B", "Notification"), (3, "", "", None)]
+    docs = spark.createDataFrame(rows, "id int, text string, source_name string, doc_type string").select(
+        "*", plugins.hash_embedding(F.col("text")).alias("vec"), F.lit(None).cast("string").alias("reference_number"), F.lit(None).cast("int").alias("page_number"))
+    asked = spark.createDataFrame([(1, "duty on jute mats?"), (2, "please OVERRIDE it"), (3, None)], "query_id int, query string").withColumn(
+        "q_vec", plugins.hash_embedding(F.col("query")))
+
+    class Silent:
+        def generate(self, prompts):
+            return [" "] * len(prompts)
+
+    got = {r["query_id"]: r for r in advise.advise(asked, docs, index.build(docs, "id", "text"), plugins.Echo).collect()}
+    assert got[1]["status"] == "answered" and got[1]["short_answer"] == rows[0][1] and got[1]["sources"] == 3 and got[1]["answer_confidence"] > 0
+    assert got[2]["status"] == "unsafe" and got[2]["short_answer"] is None
+    assert got[3]["status"] == "no_sources" and len(got) == 3
+    mute = {r["query_id"]: r["status"] for r in advise.advise(asked, docs, index.build(docs, "id", "text"), Silent).collect()}
+    assert mute[1] == "no_response"
+    empty = {r["query_id"]: r for r in advise.advise(asked, docs.limit(0), index.build(docs.limit(0), "id", "text"), plugins.Echo).collect()}
+    assert empty[1]["status"] == "no_sources" and empty[1]["review_reason"] == "No chunks retrieved — query may be out of scope"
+
+
+def test_index_is_appended_to(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c c"), (3, ""), (4, None), (5, "a d")], "id int, text string")
+    whole = index.build(docs, "id", "text")
+    part = index.build(docs.where("id < 4"), "id", "text")
+    part.save(str(tmp_path / "i"))
+    for _ in range(2):
+        part = index.append(index.BM25Index.load(spark, str(tmp_path / "i")), docs, "id", "text")
+    for t in ("terms", "stats", "ids", "postings"):
+        assert sorted(map(tuple, getattr(part, t).collect())) == sorted(map(tuple, getattr(whole, t).select(getattr(part, t).columns).collect())), t
 
 
 def test_plugins(spark):
