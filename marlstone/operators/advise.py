@@ -21,8 +21,8 @@ def advise(asked: DataFrame, collection: DataFrame, bm25: index.BM25Index, gener
     """(query_id, status, short_answer, classification, reasoning, risk_flags, sources, retrieval_confidence, answer_confidence, review_reason).
 
     asked(query_id, query, q_vec); collection(id, vec, text, source_name, doc_type, reference_number, page_number). Every question has a row: ``unsafe`` ones
-    aren't asked, those without a source or a response have no answer. Retrieved sets and contexts are bounded by ``top_k``."""
-    said = asked.select("query_id", "query", "q_vec", F.coalesce(T.matches_any(F.col("query"), UNSAFE), F.lit(False)).alias("unsafe"))
+    aren't asked, those without a source or a response have no answer; a NULL question has no source. Retrieved sets and contexts are bounded by ``top_k``."""
+    said = asked.select("query_id", "query", F.when(F.col("query").isNotNull(), F.col("q_vec")).alias("q_vec"), F.coalesce(T.matches_any(F.col("query"), UNSAFE), F.lit(False)).alias("unsafe"))
     safe = cut(said.where(~F.col("unsafe")).select("query_id", T.normalise_query(F.col("query")).alias("query"), "q_vec"))
     sparse = index.normalise(index.top_k(index.scores(bm25, index.query_terms(safe, "query_id", "query")), settings.bm25_k))
     found = cut(retrieve.hybrid(safe.select("query_id", "q_vec"), collection.select("id", "vec"), sparse, settings)
