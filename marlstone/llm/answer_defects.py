@@ -2,10 +2,9 @@
 
 Method: a pushdown parser reads each answer's fences, brackets, quotations, lists and markup; what is still open at the end, the last sentence
 included, means truncation. Greedy string tiling covers an answer by stretches of its query. The language is told by the script and by word n-gram
-models (n = 1) of the languages, which are fitted on a bounded sample of the pairs themselves: queries are told apart by a few seed words, and the
-answers that their query's model explains complete the vocabulary. Refusals are sentences of a grammar per language: who declines, the modal and its
-negation, and an act of answering that is declined. Columns are read row by row in Arrow batches; there is no shuffle but the one that counts a
-session once.
+models (n = 1) of the languages, which are fitted on all the pairs themselves: queries are told apart by a few seed words, and the answers that their
+query's model explains complete the vocabulary. Refusals are sentences of a grammar per language: who declines, the modal and its negation, and an act
+of answering that is declined. Columns are read row by row in Arrow batches; shuffled are the words' counts and what counts a session once.
 """
 
 from __future__ import annotations
@@ -13,17 +12,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut, spread
 
 DEFECTS = ("empty", "refusal", "copied_query", "other_language", "truncated")  # the first that holds counts
-SAMPLE = 3000  # pairs that the language models are fitted on, at most
+LEAST_SHARE = 1e-6  # a word seen less often than in one of so many pairs weighs next to nothing beside FLOOR and is in no model
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\"|`[^`]*`")
 
@@ -202,13 +201,8 @@ class Languages:
         return n / len(words)
 
     def scores(self, words: Iterable[str]) -> list[float]:
-        out = [0.0] * len(self.names)
-        for w in set(words):
-            row = self.logs.get(w)
-            if row:
-                for k, x in enumerate(row):
-                    out[k] += x
-        return out
+        rows = [self.logs[w] for w in set(words) if w in self.logs]
+        return list(map(sum, zip(*rows))) if rows else [0.0] * len(self.names)
 
     def best(self, words: list[str]) -> str | None:
         """The likeliest language; None if no word is known or two are as likely."""
@@ -237,35 +231,105 @@ def trigrams(word: str) -> list[str]:
     return [w[i:i + 3] for i in range(len(word))]
 
 
-def fit_languages(pairs: Iterable[tuple[str | None, str | None, str | None]]) -> Languages:
-    """Models from (query, answer, reasoning). Queries are told by the seed words, again by the models of those, and then answers that their query's
-    language explains better than any other, more than half of whose words the queries or other such answers have, are added.
-    Answers few of whose words any language has give the model of the languages that no query is written in."""
-    rows = [(plain_words(q.lower()), [plain_words(t) for t in texts if t and not is_refusal(t)]) for q, *texts in pairs if q]
-    models = Languages({k: Counter(dict.fromkeys(v, 20)) for k, v in SEEDS.items()})
+Row = tuple[list[str], list[list[str]]]
+Count = Callable[..., dict[str, Counter]]
+
+
+def _words(pairs: Iterable[tuple[str | None, ...]]) -> Iterator[Row]:
+    """(words of the query, words of each answer that isn't a refusal)"""
+    for q, *texts in pairs:
+        if q:
+            yield plain_words(q.lower()), [plain_words(t) for t in texts if t and not is_refusal(t)]
+
+
+def _query_words(rows: Iterable[Row], models: Languages) -> dict[str, Counter]:
     counts: dict[str, Counter] = {}
+    for query, _texts in rows:
+        lang = models.best(query)
+        if lang:
+            counts.setdefault(lang, Counter()).update(query)
+    return counts
+
+
+def _answer_words(rows: Iterable[Row], queries: Languages, models: Languages, least: float) -> dict[str, Counter]:
+    counts: dict[str, Counter] = {}
+    for query, texts in rows:
+        lang = queries.best(query)
+        for words in texts if lang else ():
+            if words and sum(w in models.known[lang] for w in words) >= least * len(words) and models.best(words) == lang:
+                counts.setdefault(lang, Counter()).update(words)
+    return counts
+
+
+def _strange_words(rows: Iterable[Row], queries: Languages, models: Languages) -> dict[str, Counter]:
+    strange: Counter = Counter()
+    for query, texts in rows:
+        lang = queries.best(query)
+        for words in texts if lang else ():
+            if len(words) >= 5 and sum(w in models.known[lang] for w in words) < 0.4 * len(words) and models.best(words) in (lang, None):
+                strange.update(set(words).difference(*(models.known[k] for k in SEEDS)))
+    return {STRANGE: strange} if strange else {}
+
+
+def _fit(count: Count) -> Languages:
+    """Models from the words that ``count(step, *arguments)`` counts over all pairs. Queries are told by the seed words, again by the models of those, and
+    then answers that their query's language explains better than any other, more than half of whose words the queries or other such answers
+    have, are added. Answers few of whose words any language has give the model of the languages that no query is written in."""
+
+    def added(to: dict[str, Counter], more: dict[str, Counter]) -> dict[str, Counter]:
+        return {k: c + more.get(k, Counter()) for k, c in to.items()}
+
+    models = Languages({k: Counter(dict.fromkeys(v, 20)) for k, v in SEEDS.items()})
+    counts = seeds = {k: Counter(dict.fromkeys(v, 1)) for k, v in SEEDS.items()}
     for _ in range(2):
-        counts = {k: Counter(dict.fromkeys(v, 1)) for k, v in SEEDS.items()}
-        for query, _texts in rows:
-            lang = models.best(query)
-            if lang:
-                counts[lang].update(query)
+        counts = added(seeds, count(_query_words, models))
         models = Languages(counts)
-    labelled = [(models.best(query), texts) for query, texts in rows]
+    queries, more = models, counts
     for least in (0.3, 0.5, 0.5):
-        more = {k: Counter(c) for k, c in counts.items()}
-        for lang, texts in labelled:
-            for words in texts:
-                if lang and words and sum(w in models.known[lang] for w in words) >= least * len(words) and models.best(words) == lang:
-                    more[lang].update(words)
+        more = added(counts, count(_answer_words, queries, models, least))
         models = Languages(more)
     # what no query is written in, but answers are: a language of its own
-    strange: Counter = Counter()
-    for lang, texts in labelled:
-        for words in texts:
-            if lang and len(words) >= 5 and sum(w in models.known[lang] for w in words) < 0.4 * len(words) and models.best(words) in (lang, None):
-                strange.update(set(words).difference(*(models.known[k] for k in SEEDS)))
-    return Languages(more | {STRANGE: strange}) if strange else models
+    strange = count(_strange_words, queries, models)
+    return Languages(more | strange) if strange else models
+
+
+def fit_languages(pairs: Iterable[tuple[str | None, str | None, str | None]]) -> Languages:
+    """Models from (query, answer, reasoning)."""
+    rows = list(_words(pairs))
+    return _fit(lambda step, *given: step(rows, *given))
+
+
+def fit_table(pairs: DataFrame) -> Languages:
+    """The models of fit_languages from all rows of a table (query, short_answer, reasoning). Their words are written once and read for each step; what
+    comes to the driver are the counts of the words that ``LEAST_SHARE`` of the pairs have."""
+    context = pairs.sparkSession.sparkContext
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = _words(zip(batch["query"], batch["short_answer"], batch["reasoning"]))
+            yield pd.DataFrame([(" ".join(q), [" ".join(t) for t in texts]) for q, texts in found], columns=["query", "texts"])
+
+    rows = cut(spread(pairs.select("query", "short_answer", "reasoning")).mapInPandas(read, "query string, texts array<string>"))
+    floor = LEAST_SHARE * rows.count()
+
+    def count(step: Callable, *given) -> dict[str, Counter]:
+        shared = context.broadcast(given)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = batch["texts"] if "texts" in batch else [()] * len(batch)
+                found = step(((q.split(), [t.split() for t in ts]) for q, ts in zip(batch["query"], texts)), *shared.value)
+                yield pd.DataFrame([(k, w, n) for k, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
+
+        read_from = rows.select("query") if step is _query_words else rows
+        counts = read_from.mapInPandas(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+        out: dict[str, Counter] = {}
+        for r in counts.collect():
+            out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+        shared.unpersist()
+        return out
+
+    return _fit(count)
 
 
 MARKS = re.compile(r"```|`|\*\*|[\"„()\[\]{}«»“”]|<(?P<close>/?)(?P<tag>[a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.IGNORECASE)
@@ -356,10 +420,9 @@ def defect(query: str | None, answer: str | None, reasoning: str | None, languag
 
 def find_defects(pairs: DataFrame, id_col: str = "session_id") -> DataFrame:
     """(session_id, defect): defective sessions. Rows without an id are left out; a session delivered twice counts once, with the first defect in the
-    order of DEFECTS. The language models are fitted on ``SAMPLE`` pairs, those of the least id hashes; every pair is judged."""
+    order of DEFECTS. The language models are fitted on all pairs that are judged."""
     named = pairs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "query", "short_answer", "reasoning")
-    sample = named.orderBy(F.xxhash64("id"), "query", "short_answer", "reasoning").limit(SAMPLE).collect()
-    languages = pairs.sparkSession.sparkContext.broadcast(fit_languages((r["query"], r["short_answer"], r["reasoning"]) for r in sample))
+    languages = pairs.sparkSession.sparkContext.broadcast(fit_table(named))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = languages.value

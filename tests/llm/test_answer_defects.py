@@ -1,5 +1,6 @@
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import answer_defects as ad
 
@@ -93,3 +94,13 @@ def test_languages_on_held_out_pairs():
     # an answer's language is its query's but for some three in a hundred
     same = [models.differs(q, ad.plain_words(r["reasoning"])) for q, r in zip(told, PAIRS[1::2]) if r["reasoning"] and len(r["reasoning"]) > 80]
     assert sum(same) < 0.06 * len(same)
+
+
+def test_models_of_all_pairs(spark):
+    # rows of the least id hashes, as many as a sample had, say nothing of any language
+    ids = [r["id"] for r in spark.range(3000 + len(PAIRS)).select(F.col("id").cast("string").alias("id")).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, None, GOOD, GOOD) for i in ids[:3000]] + [(i, r["query"], r["short_answer"], r["reasoning"]) for i, r in zip(ids[3000:], PAIRS)]
+    table = spark.createDataFrame(rows, "session_id string, query string, short_answer string, reasoning string").repartition(3)
+    models = ad.fit_table(table)
+    assert (models.logs, models.known, models.trigrams) == (MODELS.logs, MODELS.known, MODELS.trigrams)
+    assert {tuple(r) for r in ad.find_defects(table).collect()} == {(i, d) for i, *texts in rows if (d := defect(*texts))}
