@@ -40,6 +40,9 @@ MISREAD = re.compile(r"[^\W\d_]{2}[\d†!@|+][^\W\d_]{2}|[^\W\d_][†!@|ﬁﬂ
 SLACK = 3  # characters by which misreads and stray marks change a line's width
 WIDE = 75  # narrower lines are judged by the share that goes on in lower case alone
 WORD_LIMIT = 64  # a longer stretch without spaces isn't a word and has no candidates
+COUNTED = 1 << 17  # distinct words and pairs that a task holds at once, beside those of one document
+APPLIED = 256  # documents whose rows a task holds at once
+CANDIDATES = 1 << 16  # tokens whose candidates a worker holds
 EDGE = 6  # lines of a page among which its head, foot and number are sought, site lines between included
 
 # fixed values: what is read for what is printed
@@ -134,7 +137,7 @@ def _plain(line: str) -> str:
     return " ".join(words)
 
 
-@lru_cache(1 << 14)
+@lru_cache(1 << 11)
 def _bigrams(text: str) -> frozenset[str]:
     return frozenset(map("".join, zip(text, text[1:])))
 
@@ -284,8 +287,9 @@ class Lexicon:
                 for w in self.blanked.get(seen[:i] + "?" + seen[i + 1:], ()):
                     found.setdefault(w, (OTHER_ERROR, (i,)))
         out = [(w, p, at) for w, (p, at) in found.items()]
-        if len(self.known) < 200_000:
-            self.known[seen, deep] = out
+        if len(self.known) >= CANDIDATES:
+            self.known.clear()
+        self.known[seen, deep] = out
         return out
 
     def word(self, w: str) -> float:
@@ -441,10 +445,16 @@ class Page:
         return "\n\n".join(out)
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch and kind of text: documents, words and word pairs with their document frequencies."""
+def _counts(batches: Iterator[pd.DataFrame], most: int = COUNTED) -> Iterator[pd.DataFrame]:
+    """Per kind of text: documents, words and word pairs with their document frequencies; what ``most`` of them have been counted for goes on."""
+    words: Counter = Counter()
+
+    def rows() -> pd.DataFrame:
+        found = pd.DataFrame([(s, a, b, n) for (s, a, b), n in words.items()], columns=["scanned", "a", "b", "n"])
+        words.clear()
+        return found
+
     for batch in batches:
-        words: Counter = Counter()
         for name, text in zip(batch["filename"], batch["raw_text"]):
             scanned = is_scanned(name, text)
             words[scanned, "", ""] += 1
@@ -459,8 +469,10 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     seen.add((last, w))
                     last = w
             words.update((scanned, a, b) for a, b in seen)
-        rows = [(s, a, b, n) for (s, a, b), n in words.items()]
-        yield pd.DataFrame(rows, columns=["scanned", "a", "b", "n"])
+            if len(words) >= most:
+                yield rows()
+    if words:
+        yield rows()
 
 
 _cache: dict[str, Lexicon] = {}
@@ -495,11 +507,12 @@ class ScanRepair:
                 _cache.clear()
                 _cache[token] = Lexicon(*shared.value)
             for batch in batches:
-                rows = []
-                for i, name, text in zip(batch["parsed_id"], batch["filename"], batch["raw_text"]):
-                    page = Page(text, _cache[token]) if is_scanned(name, text) else None
-                    rows += take(i, text, page)
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(",")])
+                for k in range(0, len(batch), APPLIED):
+                    rows, some = [], batch.iloc[k:k + APPLIED]
+                    for i, name, text in zip(some["parsed_id"], some["filename"], some["raw_text"]):
+                        page = Page(text, _cache[token]) if is_scanned(name, text) else None
+                        rows += take(i, text, page)
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(",")])
 
         return self.rows.mapInPandas(run, schema)
 

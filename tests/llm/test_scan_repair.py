@@ -107,3 +107,22 @@ The broker of Telmargorash Brothers chose 5649.54 in error as agreed with Yelril
 Section 30 of the Customs Act and frozen welding rods without fittings from Torlenan
 Reported by Silgareth Valilfarune for the Lorsilin desk"""
     assert not sr.is_scanned("a.pdf", text)
+
+
+def test_counts_are_held_in_bounded_numbers():
+    import pandas as pd
+
+    rows = pd.DataFrame({"filename": ["a.docx"] * 400, "raw_text": [" ".join(f"w{i % 300}x{k}" for k in range(50)) for i in range(400)]})
+    frames = list(sr._counts(iter([rows]), 1000))
+    assert max(map(len, frames)) <= 1000 + 101
+    whole = next(sr._counts(iter([rows]), 1 << 30))
+    key = ["scanned", "a", "b"]
+    assert pd.concat(frames).groupby(key)["n"].sum().to_dict() == whole.groupby(key)["n"].sum().to_dict()
+
+
+def test_candidates_are_held_in_bounded_number(monkeypatch):
+    monkeypatch.setattr(sr, "CANDIDATES", 10)
+    lexicon = sr.Lexicon({"modern": 5, "rate": 5}, {})
+    for k in range(100):
+        lexicon.candidates("x" * (k % 30) + "rnodern")
+    assert len(lexicon.known) <= 10 and lexicon.candidates("rnodern")[0][0] == "modern"
